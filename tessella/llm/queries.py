@@ -23,14 +23,56 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.common import fresh_path
+    from tessella.llm.warc import read_archives, resolve, write_archives
+
+    path = fresh_path(spark, "warc")
+    write_archives(resolve(table(spark, sf_dir, "pages"), min_bytes=0), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The rules of the query: host, path, action.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.urlfilter import filter_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.secrets import find_secrets, update_ledger
+
+    docs = table(spark, sf_dir, "documents")
+    return find_secrets(docs, update_ledger(docs))
+
+
 def op9_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.dac import token_archive
 
     return token_archive(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.mixing import mixed_sizes
+
+    return mixed_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op9_token_archive)}
+    return {f.__name__: f for f in ALL}
+
+
+ALL = (op1_packing, op4_warc, op6_url_filter, op7_secrets, op9_token_archive, op10_mixing)
 
 
 def oracle_sql() -> dict[str, str]:
