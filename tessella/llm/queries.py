@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.hnsw import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.common import fresh_path
     from tessella.llm.warc import read_archives, resolve, write_archives
@@ -32,6 +38,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pivots import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 #: The rules of the query: host, path, action.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -56,6 +68,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(docs, update_ledger(docs))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.quality import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", held_out(docs["doc_id"]).alias("held_out"), "text")
+    return score(rows, model, threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.dac import token_archive
 
@@ -72,7 +93,17 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in ALL}
 
 
-ALL = (op1_packing, op4_warc, op6_url_filter, op7_secrets, op9_token_archive, op10_mixing)
+ALL = (
+    op1_packing,
+    op2_hnsw,
+    op4_warc,
+    op5_top_products,
+    op6_url_filter,
+    op7_secrets,
+    op8_quality,
+    op9_token_archive,
+    op10_mixing,
+)
 
 
 def oracle_sql() -> dict[str, str]:
