@@ -29,6 +29,13 @@ def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.jaccard import near_components
+
+    found = near_components(table(spark, sf_dir, "documents"), percent=85, words=4)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.common import fresh_path
     from tessella.llm.warc import read_archives, resolve, write_archives
@@ -96,6 +103,7 @@ def queries() -> dict[str, Query]:
 ALL = (
     op1_packing,
     op2_hnsw,
+    op3_jaccard,
     op4_warc,
     op5_top_products,
     op6_url_filter,
