@@ -205,16 +205,18 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **options
     return fit(x, np.array([r.quality for r in found], float), **options)
 
 
-def score(docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from ``threshold``); all rows are kept.
+def score(
+    docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """``docs`` with a score (0 to 1) and a prediction (1 from ``threshold``); all rows are kept.
 
-    Null and empty texts have the score of all-zero statistics.  Columns of ``docs`` named
-    score or predicted are replaced.
+    Null and empty texts have the score of all-zero statistics.  Columns of ``docs`` that
+    have one of the two ``names`` are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    rest = [c for c in docs.columns if c not in names]
     source = docs.select(F.col(text_col).cast("string").alias("__text"), *rest)
     kept = docs.select(*rest).schema
-    schema = kept.add("score", DoubleType()).add("predicted", IntegerType())
+    schema = kept.add(names[0], DoubleType()).add(names[1], IntegerType())
 
     def run(batches):
         for batch in batches:
@@ -229,4 +231,5 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3, text_col: str =
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
-    return score(docs, model, threshold).filter(F.col("predicted") == 1).select(*docs.columns)
+    names = ("__score", "__predicted")
+    return score(docs, model, threshold, names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
