@@ -25,7 +25,7 @@ from tessella.llm.graph import components
 from tessella.llm.shingles import Pigeonholes, set_hashes, shingle_sets
 
 #: Coordinates of a point, points in a leaf of the tree, and children of an inner node.
-GROUPS, LEAF, FAN = 64, 32, 8
+GROUPS, LEAF, FAN = 256, 32, 8
 #: Classes of one block that are compared in one task; larger blocks are cut and paired.
 BLOCK = 400
 #: Bytes of a shingle hash that are sent on; 48 bits keep chance matches of two sets below 1e-6.
@@ -179,8 +179,14 @@ def _groups(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _blobs(column, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(b.as_buffer(), dtype) for b in column]
+def _pack_point(p: np.ndarray) -> bytes:
+    """Two bytes a count, or four where a count needs them."""
+    return p.astype("<u2" if p.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _points(column) -> np.ndarray:
+    blobs = [b.as_buffer() for b in column]
+    return np.stack([np.frombuffer(b, "<u2" if b.size == 2 * GROUPS else "<u4").astype(np.int32) for b in blobs])
 
 
 def _pack(h: np.ndarray) -> bytes:
@@ -223,9 +229,9 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     holes = Pigeonholes(percent)
 
     def describe(rest, h, at, seen):
-        points = group_counts(h, at).astype("<i4")
+        points = group_counts(h, at)
         sizes = np.diff(at)
-        columns = [rest.column(1), rest.column(2), pa.array(sizes), pa.array(set_hashes(h, at).view(np.int64)), pa.array([p.tobytes() for p in points], pa.binary())]
+        columns = [rest.column(1), rest.column(2), pa.array(sizes), pa.array(set_hashes(h, at).view(np.int64)), pa.array([_pack_point(p) for p in points], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "class", "point"])
 
     def key(rest, h, at, seen):
@@ -265,7 +271,7 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
         for t in _groups(batches, 3):
             if t.num_rows < 2:
                 continue
-            p = np.stack(_blobs(t.column("point").combine_chunks(), "<i4"))
+            p = _points(t.column("point").combine_chunks())
             i, j = CountTree(p, p.sum(axis=1), percent).pairs()
             t = t.take(pa.array(np.unique(np.concatenate([i, j])))).select(["lead", "low", "high", "class", "point"])
             if t.num_rows:
@@ -293,7 +299,7 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     def verify(batches):
         for t in _groups(batches, 3):
             sets = [_unpack(b.as_buffer()) for b in t.column("members").combine_chunks()]
-            p = np.stack(_blobs(t.column("point").combine_chunks(), "<i4"))
+            p = _points(t.column("point").combine_chunks())
             name = t.column("class").to_numpy()
             found = np.array(links(sets, p, percent), np.int64).reshape(-1, 2)
             if len(found):
