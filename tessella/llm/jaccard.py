@@ -7,7 +7,7 @@ bound, and only pairs that survive it are verified on the sets.
 
 One tree over all documents would not do on a cluster: in so many dimensions its upper
 nodes all overlap.  So documents are first dealt into blocks by keys that two near sets
-must share (``shingles.Pigeonholes``), and each block has its tree.  Equal sets are one
+must share (``shingles.Prefixes``), and each block has its tree.  Equal sets are one
 class throughout; a block yields the links of a spanning forest, never all its pairs.
 """
 
@@ -22,12 +22,15 @@ from tessella.llm.bytehash import mix, text_bytes
 from tessella.llm.common import written
 from tessella.llm.dac import slices
 from tessella.llm.graph import components
-from tessella.llm.shingles import Pigeonholes, set_hashes, shingle_sets
+from tessella.llm.shingles import Prefixes, set_hashes, shingle_sets
+from tessella.llm.sieve import Sieve
 
 #: Coordinates of a point, points in a leaf of the tree, and children of an inner node.
 GROUPS, LEAF, FAN = 256, 32, 8
 #: Classes of one block that are compared in one task; larger blocks are cut and paired.
 BLOCK = 400
+#: Documents of the sample that tells common shingles, and common shingles kept at most.
+SAMPLED, COMMON = 5000, 200_000
 #: Bytes of a shingle hash that are sent on; 48 bits keep chance matches of two sets below 1e-6.
 _SENT = 6
 
@@ -215,6 +218,25 @@ def _per_text(words: int, make):
     return run
 
 
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least three of about ``SAMPLED`` documents have, ascending, and how many have them.
+
+    They only steer which keys are made; no link hangs on them.  At most ``COMMON`` come
+    to the driver.
+    """
+    step = max(1, rows.count() // SAMPLED)
+    some = rows.filter(F.pmod(_row_hash(), F.lit(step)) == 0).select("text")
+
+    def shingles(rest, h, at, seen):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["shingle"])
+
+    counts = some.mapInArrow(_per_text(words, shingles), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = counts.filter(F.col("n") >= 3).orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    name = found.column("shingle").to_numpy().view(np.uint64)
+    at = np.argsort(name)
+    return name[at], found.column("n").to_numpy()[at]
+
+
 def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of ``docs``: doc_id, text_hash, n_shingles, component_id.
 
@@ -226,7 +248,7 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    holes = Pigeonholes(percent)
+    order = Prefixes(percent, *_common(rows, words))
 
     def describe(rest, h, at, seen):
         points = group_counts(h, at)
@@ -244,16 +266,21 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
         size = np.diff(at)[keep]
         near = np.concatenate([[0], np.cumsum(size)])
         member = h[np.repeat(at[keep] - near[:-1], size) + np.arange(near[-1])]
-        k, who = holes.keys(member, near)
+        k, who = order.keys(member, near)
         return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(name[keep][who].view(np.int64))], names=["key", "class"])
 
     described = written(
         rows.mapInArrow(_per_text(words, describe), "doc_id long, text_hash long, n long, class long, point binary"), "sets"
     )
-    # blocks: all classes that share a key belong to the block of the key's smallest class
+    # blocks: all classes that share a key belong to the block of the key's most central class,
+    # the one that shares most; so a large near group has few blocks
     keyed = rows.select("text").mapInArrow(_per_text(words, key), "key long, class long")
-    keyed = keyed.withColumn("lead", F.min("class").over(Window.partitionBy("key")))
-    edges = written(keyed.filter(F.col("class") != F.col("lead")).select("lead", "class").distinct(), "blocks")
+    same_key = Window.partitionBy("key")
+    keyed = keyed.withColumns({"low": F.min("class").over(same_key), "high": F.max("class").over(same_key), "n": F.count("*").over(same_key)})
+    shared = written(keyed.filter(F.col("low") != F.col("high")).select("key", "class", "n"), "shared")
+    central = shared.groupBy("class").agg(F.sum("n").alias("score"))
+    led = shared.join(central, "class").withColumn("lead", F.max(F.struct("score", "class")).over(same_key)["class"])
+    edges = written(led.filter(F.col("class") != F.col("lead")).select("lead", "class").distinct(), "blocks")
     members = edges.unionByName(edges.select("lead", F.col("lead").alias("class")).distinct())
     sizes = members.groupBy("lead").agg(F.count("*").alias("members"))
 
@@ -283,18 +310,25 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     left = written(pointed.mapInArrow(bound, "lead long, low int, high int, class long, point binary"), "left")
 
     # the sets of classes that are left, from one text of each
-    wanted = left.select("class").distinct().join(classes, "class")
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("text")
-
-    def members_of(rest, h, at, seen):
-        name, out = set_hashes(h, at), []
-        for i, x in enumerate(name.tolist()):
-            if x not in seen:
-                seen.add(x)
-                out.append(i)
-        blobs = [_pack(h[at[i] : at[i + 1]]) for i in out]
-        return pa.RecordBatch.from_arrays([pa.array(name[out].view(np.int64)), pa.array(blobs, pa.binary())], names=["class", "members"])
+    wanted = written(left.select("class").distinct().join(classes, "class").select(_row_hash().alias("row")), "wanted")
+    sieve = Sieve.build(wanted, "row", wanted.count())
+
+    def members_of(batches):
+        """Sets of the representative rows and of the few others that the sieve lets pass."""
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(sieve.has(batch.column(1).to_numpy(zero_copy_only=False))))
+            buf, offsets = text_bytes(batch.column(0))
+            for low, high in slices(offsets):
+                part = offsets[low : high + 1]
+                h, at = shingle_sets(buf[part[0] : part[-1]], part - part[0], words)
+                name, out = set_hashes(h, at), []
+                for i, x in enumerate(name.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        out.append(i)
+                blobs = [_pack(h[at[i] : at[i + 1]]) for i in out]
+                yield pa.RecordBatch.from_arrays([pa.array(name[out].view(np.int64)), pa.array(blobs, pa.binary())], names=["class", "members"])
 
     def verify(batches):
         for t in _groups(batches, 3):
@@ -305,18 +339,24 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(name[found[:, 0]]), pa.array(name[found[:, 1]])], names=["a", "b"])
 
-    sets = texts.mapInArrow(_per_text(words, members_of), "class long, members binary")
+    sets = rows.select("text", _row_hash().alias("row")).mapInArrow(members_of, "class long, members binary")
     ready = left.join(sets, "class").select("lead", "low", "high", "class", "point", "members")
     ready = ready.repartition(*sorted_by).sortWithinPartitions(*sorted_by)
     roots = components(ready.mapInArrow(verify, "a long, b long"))
 
-    joined = classes.join(roots, F.col("class") == F.col("node"), "left").select("class", "n", "first_id", "root")
-    tops = joined.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("first_id").alias("top"))
-    joined = joined.join(tops, "root", "left").select("class", "n", F.coalesce("top", "first_id").alias("component_id"))
+    linked = classes.join(roots, F.col("class") == F.col("node")).select("class", "n", "first_id", "root")
+    tops = linked.groupBy("root").agg(F.min("first_id").alias("top"))
+    # a merge join, so that a large component's part can be split
+    linked = linked.join(tops.hint("merge"), "root").select("class", "n", "top")
+    joined = classes.join(linked, ["class", "n"], "left").select("class", "n", F.coalesce("top", "first_id").alias("component_id"))
     out = described.select("doc_id", "text_hash", "n", "class").join(joined, ["class", "n"], "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _row_hash():
+    return F.xxhash64("doc_id", "text_hash")
+
+
 def _paired(members: DataFrame) -> DataFrame:
     """Members (lead, class, members) dealt to pairs (low, high) of their block's slots.
 
@@ -333,13 +373,23 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The rows of ``docs`` without all but one document of each component.
 
     The one with the smallest id stays (then the smallest text hash); documents without
-    words all stay; columns stay the same.
+    words all stay; columns stay the same.  Texts that no row to be dropped has are never
+    shuffled.
     """
-    found = near_components(docs, percent, words)
-    kept = found.filter(F.col("n_shingles") > 0).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    empty = found.filter(F.col("n_shingles") == 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    names = docs.withColumn("__hash_of", F.xxhash64(F.col("text").cast("string")))
+    found = written(near_components(docs, percent, words).filter(F.col("n_shingles") > 0), "found")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("rows"), F.min(name).alias("first")).filter(F.col("rows") > 1)
+    firsts = groups.select(F.col("component_id").alias("__group"), "first")
+    grouped = found.select("doc_id", "text_hash", "component_id").join(firsts, F.col("component_id").eqNullSafe(F.col("__group")))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    judged = grouped.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.bool_or(stays).alias("__stays"))
+    judged = written(judged, "judged")
+    named = docs.withColumn("__hash_of", F.xxhash64(F.col("text").cast("string")))
+    sieve = Sieve.build(judged, "__hash", judged.count())
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash_of") == F.col("__hash"))
-    full = names.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__hash_of"])
-    return full.unionByName(names.join(empty.distinct(), same, "left_semi")).select(*docs.columns)
+    doubtful = sieve.split(named, "__hash_of", maybe=True).join(judged, same, "left")
+    alone = doubtful.filter(F.col("__stays").isNull()).select(*docs.columns)
+    first = doubtful.filter(F.col("__stays")).dropDuplicates(["doc_id", "__hash_of"]).select(*docs.columns)
+    return sieve.split(named, "__hash_of", maybe=False).select(*docs.columns).unionByName(alone).unionByName(first)
+
+

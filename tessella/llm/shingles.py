@@ -73,64 +73,32 @@ def set_hashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(size > 0, out, np.uint64(0))
 
 
-class Pigeonholes:
+class Prefixes:
     """Keys of which two sets share at least one if their Jaccard similarity is high enough.
 
-    With 100 * |A & B| >= percent * |A | B|, A and B differ in at most
-    d = (100 - percent) * (|A| + |B|) / (100 + percent) members.  Members are hashed into
-    d + 2 groups, so at least two groups have the same members in both sets.  A key is the
-    content of a group that isn't empty, or a pair of groups that are.  The number of groups
-    hangs on a size class; a set is keyed in the class of every partner of its own size or
-    larger.
+    With 100 * |A & B| >= percent * |A | B|, the sets share at least percent / 100 of the
+    larger one.  Put all shingles in one order, whatever it is; then the first
+    n - ceil(percent * n / 100) + 1 members of each set have one in common.  The order here
+    puts shingles that a sample of documents has often last, so that a passage which many
+    documents share makes keys only where a document holds little else.
     """
 
-    def __init__(self, percent: int, ratio: float = 1.4):
-        self.percent = percent
-        low = [1]
-        while low[-1] < 1 << 40:
-            low.append(max(low[-1] + 1, int(low[-1] * ratio)))
-        self.low = np.array(low)
-        most = 2 * (self.low[1:] - 1)
-        self.differ = (100 - percent) * most // (100 + percent)
+    def __init__(self, percent: int, common: np.ndarray, counts: np.ndarray):
+        """``common``: shingle hashes seen often, ascending; ``counts``: how often."""
+        self.percent, self.common, self.counts = percent, common, counts.astype(np.int64)
+        self.most = int(self.counts.max(initial=0))
 
     def keys(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All keys and, for each, the place of its set."""
         size = np.diff(offsets)
-        own = np.searchsorted(self.low, size, "right") - 1
-        last = np.searchsorted(self.low, size * 100 // self.percent, "right") - 1
-        classes = np.where(size > 0, last - own + 1, 0)
-        doc = np.repeat(np.arange(len(size)), classes)
-        cls = np.repeat(own, classes) + np.arange(len(doc)) - np.repeat(np.cumsum(classes) - classes, classes)
-        alike = self.differ[cls] > 0  # otherwise only equal sets are near
-        doc, cls = doc[alike], cls[alike]
-        if not len(doc):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        groups = self.differ[cls] + 2
-        base = np.cumsum(groups) - groups
-        n = size[doc]
-        entry = np.repeat(np.arange(len(doc)), n)
-        member = h[np.repeat(offsets[doc] - (np.cumsum(n) - n), n) + np.arange(len(entry))]
-        spread = mix(member + _ODD)
-        slot = base[entry] + ((spread >> np.uint64(20)) % groups[entry].astype(np.uint64)).astype(np.int64)
-        total = int(groups.sum())
-        filled = np.bincount(slot, minlength=total) > 0
-        # sums of 32-bit halves are exact in double precision
-        low = np.bincount(slot, (member & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
-        high = np.bincount(slot, (member >> np.uint64(32)).astype(float), total).astype(np.uint64)
-        owner = np.repeat(np.arange(len(doc)), groups)
-        place = (np.arange(total) - base[owner]).astype(np.uint64)
-        salt = mix((cls[owner].astype(np.uint64) << np.uint64(40)) + place)
-        key = mix(mix(low) + (high ^ salt))[filled]
-        who = doc[owner][filled]
-        empty = np.flatnonzero(~filled)
-        extra_key, extra_who = [], []
-        if len(empty):
-            at = np.split(empty, np.flatnonzero(np.diff(owner[empty])) + 1)
-            for e in at:
-                if len(e) > 1:
-                    a, b = np.triu_indices(len(e), 1)
-                    extra_key.append(mix(mix(salt[e[a]]) + salt[e[b]]))
-                    extra_who.append(np.full(len(a), doc[owner[e[0]]]))
-        if extra_key:
-            key, who = np.concatenate([key, *extra_key]), np.concatenate([who, *extra_who])
-        return key, who
+        doc = np.repeat(np.arange(len(size)), size)
+        count = np.zeros(len(h), np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+            seen = self.common[at] == h
+            count[seen] = self.counts[at[seen]]
+        order = np.argsort(doc * (self.most + 1) + count, kind="stable")  # hashes ascend within a set
+        length = size + (-self.percent * size) // 100 + 1
+        place = np.arange(len(h)) - np.repeat(offsets[:-1], size)
+        keep = order[place < np.repeat(length, size)]
+        return h[keep], doc[keep]
