@@ -259,7 +259,7 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select l_orderkey, count(*) as n, sum(l_linenumber) as numbers, sum(case when l_returnflag = 'R' then 1 else 0 end) as returned
+    """select l_orderkey, count(*) as n, cast(sum(l_linenumber) as bigint) as numbers, count(*) filter (l_returnflag = 'R') as returned
     from lineitem group by l_orderkey"""
 )
 def context_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
