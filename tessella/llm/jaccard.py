@@ -349,6 +349,7 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     # a merge join, so that a large component's part can be split
     linked = linked.join(tops.hint("merge"), "root").select("class", "n", "top")
     joined = classes.join(linked, ["class", "n"], "left").select("class", "n", F.coalesce("top", "first_id").alias("component_id"))
+    joined = written(joined, "components")  # the join below can then split a large class
     out = described.select("doc_id", "text_hash", "n", "class").join(joined, ["class", "n"], "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
