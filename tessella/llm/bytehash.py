@@ -7,7 +7,7 @@ import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed in one go; bounds what the arrays below take.
-SPAN = 2_000_000
+SPAN = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

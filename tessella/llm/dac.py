@@ -27,6 +27,8 @@ from tessella.llm.encode import encoder
 
 _MAGIC = b"DAC1"
 _HEAD = struct.Struct("<4sIqqq")  # magic, levels, tokens, documents, nulls' place in the list
+#: Bytes of text that are encoded in one go.
+ENCODED = 2_000_000
 #: Bits of a bitmap that one rank entry covers.
 RANK_BITS = 512
 
@@ -141,7 +143,7 @@ def write_images(
             column = batch.column(0)
             names, null = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
             buf, offsets = text_bytes(batch.column(1))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, ENCODED):
                 part = offsets[low : high + 1]
                 flat, at = codec.encode(buf[part[0] : part[-1]], part - part[0])
                 lens = np.diff(at) + 1
@@ -164,7 +166,7 @@ _NAMES = ["shard", "seq", "n_tokens", "n_docs", "image"]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def slices(offsets: np.ndarray, most: int = 2_000_000):
+def slices(offsets: np.ndarray, most: int = 500_000):
     """Row ranges of a batch that hold about ``most`` bytes each."""
     low = 0
     while low < len(offsets) - 1:

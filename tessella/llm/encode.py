@@ -14,10 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 
-from tessella.llm.bytehash import SPAN, hash_ranges
+from tessella.llm.bytehash import hash_ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Bytes whose pieces are looked up in one go.
+SPAN = 2_000_000
 #: Pieces that one Python worker keeps at most; beyond it the table starts anew.
 TABLE_PIECES = 1_500_000
 

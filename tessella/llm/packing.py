@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.bytehash import text_bytes
 from tessella.llm.common import in_order
-from tessella.llm.dac import slices
+from tessella.llm.dac import ENCODED, slices
 from tessella.llm.encode import encoder, sentence_ends
 
 SCHEMA = (
@@ -173,7 +173,7 @@ def pack_documents(
             column = batch.column(0)
             names, null = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
             buf, offsets = text_bytes(batch.column(1))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, ENCODED):
                 part = offsets[low : high + 1]
                 flat, at = codec.encode(buf[part[0] : part[-1]], part - part[0])
                 stream.add(np.insert(flat, at[1:], end_id), names[low:high], null[low:high], np.diff(at) + 1)

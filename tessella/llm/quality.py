@@ -214,16 +214,15 @@ def score(
     have one of the two ``names`` are replaced.
     """
     rest = [c for c in docs.columns if c not in names]
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), *rest)
-    kept = docs.select(*rest).schema
-    schema = kept.add(names[0], DoubleType()).add(names[1], IntegerType())
+    place, source = rest.index(text_col), docs.select(*rest)
+    schema = docs.select(*rest).schema.add(names[0], DoubleType()).add(names[1], IntegerType())
 
     def run(batches):
         for batch in batches:
-            buf, offsets = text_bytes(batch.column(0))
+            buf, offsets = text_bytes(batch.column(place))
             parts = [model.scores(statistics(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets)]
             p = np.concatenate(parts) if parts else np.zeros(0)
-            columns = [*batch.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+            columns = [*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
