@@ -282,7 +282,7 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     led = shared.join(central, "class").withColumn("lead", F.max(F.struct("score", "class")).over(same_key)["class"])
     edges = written(led.filter(F.col("class") != F.col("lead")).select("lead", "class").distinct(), "blocks")
     members = edges.unionByName(edges.select("lead", F.col("lead").alias("class")).distinct())
-    sizes = members.groupBy("lead").agg(F.count("*").alias("members"))
+    sizes = written(members.groupBy("lead").agg(F.count("*").alias("members")), "block_sizes")
 
     named = described.filter(F.col("n") > 0)
     classes = named.groupBy("class", "n").agg(
