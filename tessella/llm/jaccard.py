@@ -246,6 +246,14 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     never the smallest unless there is no other; repeated ids and rows are kept.  Other
     columns are not read.
     """
+    return _rooted(docs, percent, words, id_col, text_col).drop("root")
+
+
+def _rooted(docs: DataFrame, percent: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_components`` with ``root``, a class of the component that names it whatever its ids.
+
+    Ids name no component: all of its ids may be null, and two unlinked texts may share one.
+    """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     order = Prefixes(percent, *_common(rows, words))
@@ -347,11 +355,13 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col:
     linked = classes.join(roots, F.col("class") == F.col("node")).select("class", "n", "first_id", "root")
     tops = linked.groupBy("root").agg(F.min("first_id").alias("top"))
     # a merge join, so that a large component's part can be split
-    linked = linked.join(tops.hint("merge"), "root").select("class", "n", "top")
-    joined = classes.join(linked, ["class", "n"], "left").select("class", "n", F.coalesce("top", "first_id").alias("component_id"))
+    linked = linked.join(tops.hint("merge"), "root").select("class", "n", "root", "top")
+    joined = classes.join(linked, ["class", "n"], "left").select(
+        "class", "n", F.coalesce("top", "first_id").alias("component_id"), F.coalesce("root", "class").alias("root")
+    )
     joined = written(joined, "components")  # the join below can then split a large class
     out = described.select("doc_id", "text_hash", "n", "class").join(joined, ["class", "n"], "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
 def _row_hash():
@@ -377,11 +387,10 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     words all stay; columns stay the same.  Texts that no row to be dropped has are never
     shuffled.
     """
-    found = written(near_components(docs, percent, words).filter(F.col("n_shingles") > 0), "found")
+    found = written(_rooted(docs, percent, words).filter(F.col("n_shingles") > 0).select("doc_id", "text_hash", "root"), "found")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    groups = found.groupBy("component_id").agg(F.count("*").alias("rows"), F.min(name).alias("first")).filter(F.col("rows") > 1)
-    firsts = groups.select(F.col("component_id").alias("__group"), "first")
-    grouped = found.select("doc_id", "text_hash", "component_id").join(firsts, F.col("component_id").eqNullSafe(F.col("__group")))
+    groups = found.groupBy("root").agg(F.count("*").alias("rows"), F.min(name).alias("first")).filter(F.col("rows") > 1)
+    grouped = found.join(groups.select("root", "first"), "root")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     judged = grouped.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.bool_or(stays).alias("__stays"))
     judged = written(judged, "judged")

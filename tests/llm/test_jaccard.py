@@ -81,6 +81,16 @@ def test_keep_one_leaves_a_document_of_each_component(spark):
     assert sum(not shingles(r.text) for r in got) == 3
 
 
+def test_keep_one_keeps_unlinked_texts_without_an_id_or_with_the_same(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(9)) for c in "abcde"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (None, texts["c"].upper()), (None, texts["c"])]
+    rows += [(4, texts["d"]), (4, texts["e"]), (4, texts["e"]), (9, texts["d"]), (None, None), (None, "")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 85, 4).collect()
+    kept = sorted((r.text.lower(), r.doc_id) for r in got if r.text)
+    assert kept == [(texts["a"], None), (texts["b"], None), (texts["c"], None), (texts["d"], 4), (texts["e"], 4)]
+    assert sum(not r.text for r in got) == 2
+
+
 def test_nothing_in_nothing_out(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_components(docs).count() == 0
