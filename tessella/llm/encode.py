@@ -3,13 +3,15 @@
 A byte-level pre-tokenizer cuts a text into words that are encoded alone, and some
 of its cuts show from two neighbouring bytes: before white space that follows a
 visible character, after a line feed, and after a letter that no letter follows.
-Texts are cut there; the tokenizers library encodes each distinct piece once, and a
+Texts are cut there and around each added token of the vocabulary (such as
+``<|endoftext|>``), which has one id wherever a text holds it; the tokenizers library encodes each distinct piece once, and a
 sorted table of piece hashes gives the ids of all others by array look-ups.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -69,7 +71,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized and self.tokenizer.normalizer for t in added):
+            raise ValueError("added tokens that take in or depend on their surroundings aren't supported")
+        # as the library finds them: the first one, of several that start there the longest
+        names = sorted((t.content.encode() for t in added if t.content), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.forget()
 
     def forget(self) -> None:
@@ -96,7 +103,11 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after the other, and the offsets of the rows in them."""
-        starts = piece_starts(buf, offsets)
+        edges, inside = self._edges(buf, offsets)
+        starts = piece_starts(buf, edges)
+        if len(inside):
+            at = np.searchsorted(inside[:, 0], starts, "left") - 1
+            starts = starts[(at < 0) | (starts >= inside[at, 1])]
         ends = np.append(starts[1:], len(buf)) if len(starts) else starts
         ids, sizes = [], []
         i = 0
@@ -110,6 +121,15 @@ class Encoder:
         before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
         return flat, before[np.searchsorted(starts, offsets)] if len(starts) else np.zeros(len(offsets), np.int64)
 
+    def _edges(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The offsets joined by both ends of each added token, and these spans; none crosses a document's end."""
+        spans = []
+        if self.added is not None and self.added.search(buf):
+            rows = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+            spans = [m.span() for a, b in rows for m in self.added.finditer(buf, a, b)]
+        inside = np.array(spans, offsets.dtype).reshape(-1, 2)
+        return (np.union1d(offsets, inside) if spans else offsets), inside
+
     def _span(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, first, inverse = np.unique(hash_ranges(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > TABLE_PIECES:

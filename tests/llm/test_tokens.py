@@ -31,6 +31,27 @@ def test_encoder_equals_library_on_odd_texts(plain):
     assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [plain(t) for t in texts]
 
 
+def test_added_token_has_its_id_wherever_a_text_holds_it():
+    """The unmodified library is the reference."""
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "\n", "  ", "a", "B.", "é", "日", "<", ">", "<|ENDOFTEXT|>"]
+    texts = ["a<|endoftext|>b", "a<|endof", "text|>b", "", None, "<|endoftext|>", " x  <|endoftext|>  y\n"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    flat, at = encoder(PATH).encode(*text_bytes(pa.array(texts, pa.string())))
+    got = [flat[a:b].tolist() for a, b in zip(at, at[1:])]
+    assert got[0] == [64, 50256, 65]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_archive_of_texts_with_an_added_token(spark):
+    ids = Tokenizer.from_file(PATH).encode("a<|endoftext|>b", add_special_tokens=False).ids + [0]
+    (row,) = dac.token_archive(_docs(spark, [(1, "a<|endoftext|>b", "x")]), PATH).collect()
+    assert tuple(row) == (1, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    (piece,) = packing.pack_documents(_docs(spark, [(1, "a<|endoftext|>b", "x")]), PATH).collect()
+    assert (piece.ids_crc32, piece.doc_tokens) == (row[3], len(ids))
+
+
 def test_image_gives_any_token():
     rng = np.random.default_rng(1)
     ids = rng.choice([0, 5, 255, 256, 65535, 65536, 2**24 + 7], 3000).astype(np.uint32)
