@@ -34,20 +34,38 @@ def json_value(document: Column, path: str, kind: str = "string") -> Column:
 def csv_objects(text: Column) -> Column:
     """Rows of CSV text as maps: names trimmed, cells as text, cells of short rows left out.
 
-    Cells may be quoted; a line feed inside quotes isn't supported.
+    Cells may be quoted and then hold commas and line ends.
     """
-    cells = lambda line: F.transform(
-        F.regexp_extract_all(line, F.lit('(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)),
-        lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c),
-    )
-    lines = F.filter(F.split(text, "\r\n|\n|\r"), lambda line: line != "")
-    header = F.transform(cells(F.get(lines, F.lit(0))), lambda c: F.trim(c))
-
-    def row(line: Column) -> Column:
-        pairs = F.filter(F.arrays_zip(header.alias("name"), cells(line).alias("cell")), lambda p: p["name"].isNotNull() & p["cell"].isNotNull())
-        return F.map_from_entries(pairs)
-
-    return F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), row)
+    # every cell with the comma or line end before it: no match is empty, so no cell is passed over
+    whole = F.concat(F.lit("\n"), text)
+    found = lambda group: F.regexp_extract_all(whole, F.lit('(,|\r\n|\n|\r)("[^"]*+(?:""[^"]*+)*+"|[^,\r\n]*)'), F.lit(group))
+
+    def plain(cell: Column) -> Column:
+        return F.when(cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1), F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell)
+
+    def rows(cells: Column) -> Column:
+        first = F.filter(F.transform(cells, lambda c, i: F.when(c["before"] != ",", i + 1)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(first), lambda at: F.filter(F.transform(at, lambda a, k: part(cells, at, a, k)), lambda r: ~blank(r))), F.lit(0))
+
+    def part(cells: Column, at: Column, a: Column, k: Column) -> Column:
+        return F.slice(cells, a, F.coalesce(F.get(at, k + 1), F.size(cells) + 1) - a)
+
+    def blank(row: Column) -> Column:
+        return (F.size(row) == 1) & (F.get(row, F.lit(0))["cell"] == "")
+
+    def objects(lines: Column) -> Column:
+        header = F.transform(F.get(lines, F.lit(0)), lambda c: F.trim(plain(c["cell"])))
+        rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+        return F.get(F.transform(F.array(header), lambda names: F.transform(rest, lambda r: row(names, r))), F.lit(0))
+
+    def row(names: Column, cells: Column) -> Column:
+        pairs = F.arrays_zip(names.alias("name"), F.transform(cells, lambda c: plain(c["cell"])).alias("cell"))
+        return F.map_from_entries(F.filter(pairs, lambda p: p["name"].isNotNull() & p["cell"].isNotNull()))
+
+    # arrays of one bind a value once, where a lambda would compute it again for each row
+    cells = F.arrays_zip(found(1).alias("before"), found(2).alias("cell"))
+    lines = F.transform(F.array(cells), rows)
+    return F.get(F.transform(lines, objects), F.lit(0))
 
 
 def xml_document(text: Column, schema: str) -> Column:

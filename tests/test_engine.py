@@ -38,6 +38,18 @@ def test_csv_text(spark):
     assert one(spark, documents.csv_objects(F.col("x")), "a,b") == []
 
 
+def test_csv_text_keeps_cells_beside_empty_ones_and_quoted_line_ends(spark):
+    got = lambda text: one(spark, documents.csv_objects(F.col("x")), text)
+    assert got("a,b,c\n,x,y\n,,z\n1,,\n,\n") == [
+        {"a": "", "b": "x", "c": "y"}, {"a": "", "b": "", "c": "z"}, {"a": "1", "b": "", "c": ""}, {"a": "", "b": ""},
+    ]
+    assert got(",b\n1,2") == [{"": "1", "b": "2"}]
+    assert got('a,b\r\n"x\r\ny, ""z""\n",2\r\n\r\n"",3\r') == [{"a": 'x\r\ny, "z"\n', "b": "2"}, {"a": "", "b": "3"}]
+    assert got('a,b\n5" x,"' + "q," * 20000 + '"') == [{"a": '5" x', "b": "q," * 20000}]
+    assert got('a\n"' + '""' * 20000 + '"\n"open') == [{"a": '"' * 20000}, {"a": '"open'}]
+    assert got(None) is None and got("") == []
+
+
 def test_content_types():
     assert [documents.source_kind(t) for t in (None, "", "application/json+fhir", "text/csv; charset=x", "application/xml+fhir", "x-application/hl7-v2+er7")] == [
         "json", "json", "json", "csv", "xml", "hl7",
