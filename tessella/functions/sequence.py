@@ -35,7 +35,7 @@ def _member(name: str) -> Callable[[Column], Column]:
 
 
 def keyed(values: Column, key: Callable[[Column, Column], Column]) -> Column:
-    """A map of each value by a key; a repeated key keeps its last value."""
+    """A map of each value by a key; a repeated key keeps its last value (``grouped`` keeps all)."""
     pairs = F.transform(values, lambda v, i: F.struct(key(v, i).alias("key"), v.alias("value")))
     last = F.filter(
         pairs,
@@ -44,6 +44,17 @@ def keyed(values: Column, key: Callable[[Column, Column], Column]) -> Column:
     return F.map_from_entries(last)
 
 
+def grouped(values: Column, key: Callable[[Column, Column], Column]) -> Column:
+    """A map of all values by a key, in their order; values without a key drop out."""
+    pairs = F.filter(F.transform(values, lambda v, i: F.struct(key(v, i).alias("key"), v.alias("value"))), lambda p: p["key"].isNotNull())
+
+    def collected(pairs: Column) -> Column:
+        names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+        return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]).alias("value"))))
+
+    return F.get(F.transform(F.array(pairs), collected), F.lit(0))  # an array of one binds the pairs once
+
+
 def last(values: Column) -> Column:
     """The last present value: what a single-valued element keeps."""
     return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))

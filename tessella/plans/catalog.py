@@ -319,6 +319,18 @@ def split_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.select("p_partkey", at("0").alias("zero"), F.nullif(at("1"), F.lit("")).alias("one"), F.size("parts").cast("bigint").alias("n"))
 
 
+@query(
+    "select p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda w: len(w) % 2 = 0), ' ') as even,"
+    " array_to_string(list_filter(string_split(p_name, ' '), lambda w: len(w) % 2 = 1), ' ') as odd from part"
+)
+def split_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a sequence grouped by a computed key that repeats."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", sc.split_text(F.col("p_name"), " ").alias("parts"))
+    rows = p.select("p_partkey", sq.grouped(F.col("parts"), lambda v, i: F.when(F.length(v) % 2 == 0, "even").otherwise("odd")).alias("m"))
+    at = lambda k: F.array_join(F.coalesce(F.try_element_at("m", F.lit(k)), F.array().cast("array<string>")), " ").alias(k)
+    return rows.select("p_partkey", at("even"), at("odd"))
+
+
 @query("select n_nationkey, concat(n_nationkey, ' ', n_name) as joined, n_name as clean from nation")
 def join_trim_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _t(spark, sf_dir, "nation")

@@ -100,6 +100,13 @@ def test_sequences(spark):
     assert one(spark, sq.keyed(F.array(F.lit("a"), F.lit("b")), lambda v, i: F.lit("k"))) == {"k": "b"}
 
 
+def test_grouped_keeps_every_value_of_a_repeated_key(spark):
+    values = F.split(F.col("x"), ",")
+    got = one(spark, sq.grouped(values, lambda v, i: F.when(v != "none", F.substring(v, 1, 1))), "a1,b1,none,a2,a1")
+    assert got == {"a": ["a1", "a2", "a1"], "b": ["b1"]}
+    assert one(spark, sq.grouped(F.split(F.col("x"), ","), lambda v, i: v)) is None
+
+
 def test_rules(spark):
     r = Resource(profiles.PATIENT, F.lit("7")).assign("gender", F.lit("x")).assign("gender", F.lit("female")).assign("active", F.lit(False))
     r.assign("deceasedBoolean", F.lit(True)).assign("deceasedDateTime", F.lit("2020")).slice("identifier", "ssn").sibling("birthDate", F.struct(F.lit("y").alias("z")))
