@@ -130,12 +130,13 @@ def _quotas(cells: DataFrame, most: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, text_col: str = "text") -> DataFrame:
-    """Copies of each document: doc_id, source, text_hash, rows, size, source_size, target, copies.
+    """Copies of each document: doc_id, source, text_hash, rows, size, source_size, target, copies, more.
 
     There is a row for each distinct (doc_id, text, source); ``rows`` says how often the
-    input has it, ``copies`` how often the mix takes each of those rows (0 to ``most``).
+    input has it, ``copies`` how often the mix takes each of those rows (0 to ``most``),
+    and ``more`` how many of them it takes once more.
     Null sources make one source, the last; null and empty texts have size 0 and are kept
-    once; null ids are an id like any other.  Which documents of one size take a copy more
+    once; null ids are an id like any other.  Which rows of one size take a copy more
     is settled by a hash of the row, so reruns agree.
     """
     units = written(sized(docs, text_col), "units")
@@ -174,28 +175,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     within = F.sum("rows").over(Window.partitionBy("source", "size", "slot").orderBy("turn", "doc_id", "text_hash")) - F.col("rows")
     place = F.coalesce("ahead", F.lit(0)) + within
     extra = F.expr("quota - n * (quota div n)")
-    copies = F.expr("quota div n") + F.when(place < extra, 1).otherwise(0)
-    return joined.withColumn("place", place).select(
-        "doc_id", "source", "text_hash", "rows", "size", "source_size", "target", copies.cast("int").alias("copies")
-    )
+    more = F.least(F.col("rows"), F.greatest(F.lit(0), extra - F.col("place")))
+    every = (F.col("more") == F.col("rows")).cast("int")
+    joined = joined.withColumn("place", place).withColumn("more", more)
+    return joined.select(
+        "doc_id", "source", "text_hash", "rows", "size", "source_size", "target",
+        (F.expr("quota div n") + every).cast("int").alias("copies"), (F.col("more") * (1 - every)).alias("more"),
+    )
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """A row for each row of ``docs``: doc_id, size, source_size, target, taken (words)."""
-    rows = mix(docs, **options)
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")
-    ).drop("row")
+    rows = mix(docs, **options).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    rows = rows.withColumn("copies", F.col("copies") + (F.col("row") <= F.col("more")).cast("int"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; columns stay the same."""
-    rows = mix(docs, **options).filter(F.col("copies") > 0)
-    chosen = rows.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies"))
-    joined = docs.join(
-        chosen,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-        & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")),
+    chosen = mix(docs, **options).filter((F.col("copies") > 0) | (F.col("more") > 0))
+    chosen = chosen.select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies"), F.col("more").alias("__more")
     )
-    return joined.withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    chosen = written(chosen, "chosen")
+
+    def found(part: DataFrame) -> DataFrame:
+        return docs.join(
+            part,
+            F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+            & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+            & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")),
+        )
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.filter(F.col("__copies") > 0).withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+    out = repeated(found(chosen.filter(F.col("__more") == 0)))
+    # at most one document of each source and size has rows that differ in copies: they are numbered
+    uneven = written(chosen.filter(F.col("__more") > 0), "uneven")
+    if uneven.isEmpty():
+        return out
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    turn = Window.partitionBy("__id", "__source", "__hash").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    numbered = found(uneven).withColumn("__turn", F.row_number().over(turn))
+    return out.unionByName(repeated(numbered.withColumn("__copies", F.col("__copies") + (F.col("__turn") <= F.col("__more")).cast("int"))))

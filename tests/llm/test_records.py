@@ -245,5 +245,24 @@ def test_mixed_documents_repeat_rows(spark):
     assert out == Counter({k: c * rowsof[k] for k, c in times.items() if c})
 
 
+def test_repeated_rows_share_out_the_extra_copies(spark):
+    rows = [(1, "a b c d", "x", k % 3) for k in range(101)] + [(None, "e f", None, 7)] * 40 + [(k, "g h i", "y", 0) for k in range(25)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int")
+    got = mixing.mixed_sizes(docs).collect()
+    sizes, taken, copies = Counter(), Counter(), {}
+    for _, t, s, _ in rows:
+        sizes[s] += len(t.split())
+    assert len(got) == len(rows)
+    for r in got:
+        taken[r.source] += r.taken
+        copies.setdefault(r.source, Counter())[r.copies] += 1
+    want = _targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 4 for s in sizes)
+    assert len(copies["x"]) == 2
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.source) for r in out.collect()) == sum((Counter({(r.doc_id, r.source): r.copies}) for r in got), Counter())
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mixed_sizes(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
