@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes hashed in one go; bounds what the arrays below take.
-SPAN = 500_000
+#: Eight-byte blocks hashed in one go; bounds what the arrays below take.
+SPAN = 250_000
+#: What is kept of a block of which a range holds 0 to 8 bytes.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,22 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A 64-bit value for each byte, and powers of an odd base with their inverses.
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(_BASE, SPAN + 1)
-_INV = _powers(_INVERSE, SPAN + 1)
-
-
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and the offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -48,31 +34,42 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf[at[0] : at[-1]], at - at[0]
 
 
+def blocks_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None):
+    """Eight-byte blocks of ascending ranges, zero-filled at a range's end, in bounded portions.
+
+    Yields (first range, blocks of each range from it on, number of each block in its
+    range, blocks).  A long range may go on in the next portion.  ``fold`` maps bytes
+    first (for lower-casing).
+    """
+    count = (ends - starts + 7) >> 3
+    last = np.cumsum(count)
+    first = last - count
+    total = int(last[-1]) if len(last) else 0
+    for low in range(0, total, SPAN):
+        high = min(total, low + SPAN)
+        i, j = int(np.searchsorted(first, low, "right")) - 1, int(np.searchsorted(first, high, "left"))
+        here = np.minimum(last[i:j], high) - np.maximum(first[i:j], low)
+        number = np.arange(low, high) - np.repeat(first[i:j], here)
+        at = np.repeat(starts[i:j], here) + 8 * number
+        left = np.minimum(np.repeat(ends[i:j], here) - at, 8)
+        base, top = int(at[0]), min(int(at[-1]) + 8, len(buf))
+        held = np.zeros(top - base + 8, np.uint8)
+        held[: top - base] = buf[base:top] if fold is None else fold[buf[base:top]]
+        words = np.ndarray((top - base + 1,), "<u8", held, 0, (1,))[at - base]
+        yield i, here, number, words & KEEP[left]
+
+
 def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each range; ``starts`` ascend and ranges don't overlap.
 
-    ``fold`` maps bytes before hashing (for lower-casing).  Work is cut into spans,
-    so memory doesn't grow with the length of a text.
+    Every block goes through a bijection that depends on its place before they are summed,
+    so no two texts of a few repeated letters cancel each other out, as they can in a
+    polynomial modulo 2^64.
     """
-    values = _BYTE if fold is None else _BYTE[fold]
     out = np.zeros(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        low = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, low + SPAN, "right")))
-        high = ends[j - 1]
-        if high - low > SPAN:  # one range alone is longer
-            total = np.uint64(0)
-            scale = 1
-            for k in range(low, high, SPAN):
-                part = values[buf[k : min(high, k + SPAN)]]
-                total += (part * _POW[: len(part)]).sum(dtype=np.uint64) * np.uint64(scale)
-                scale = scale * pow(_BASE, SPAN, 1 << 64) % (1 << 64)
-            out[i] = total
-        else:
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(values[buf[low:high]] * _POW[: high - low], out=sums[1:])
-            a = starts[i:j] - low
-            out[i:j] = (sums[ends[i:j] - low] - sums[a]) * _INV[a]
-        i = j
+    for i, here, number, words in blocks_of(buf, starts, ends, fold):
+        values = mix(words ^ mix((number.astype(np.uint64) + np.uint64(1)) * _ODD))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+        edge = np.concatenate([[0], np.cumsum(here)])
+        out[i : i + len(here)] += sums[edge[1:]] - sums[edge[:-1]]
     return mix(out + (ends - starts).astype(np.uint64) * _ODD)

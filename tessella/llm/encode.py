@@ -5,7 +5,9 @@ of its cuts show from two neighbouring bytes: before white space that follows a
 visible character, after a line feed, and after a letter that no letter follows.
 Texts are cut there and around each added token of the vocabulary (such as
 ``<|endoftext|>``), which has one id wherever a text holds it; the tokenizers library encodes each distinct piece once, and a
-sorted table of piece hashes gives the ids of all others by array look-ups.
+sorted table of piece keys gives the ids of all others by array look-ups.  A piece of up
+to seven bytes is its own key; a longer one has a hash, and its bytes are compared with
+those of the piece in the table, so ids never hang on a hash.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tessella.llm.bytehash import hash_ranges
+from tessella.llm.bytehash import KEEP, blocks_of, hash_ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -24,6 +26,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPAN = 2_000_000
 #: Pieces that one Python worker keeps at most; beyond it the table starts anew.
 TABLE_PIECES = 1_500_000
+#: Bytes of a piece that is kept; longer ones are encoded wherever they occur.
+LONGEST = 128
 
 
 def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +89,31 @@ class Encoder:
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        # the bytes of pieces beyond seven, as blocks of eight
+        self.block_at = np.zeros(0, np.int64)
+        self.blocks = np.zeros(1 << 16, np.uint64)
+        self.blocks_used = 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pieces; ``keys`` ascend."""
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(count) - count
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum())), count
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pieces; ``keys`` ascend."""
+        flat, count = self._library([p.decode() for p in pieces])
+        self.pool, at = _appended(self.pool, self.used, flat), self.used + np.cumsum(count) - count
         self.used += len(flat)
+        padded = [p + bytes(-len(p) % 8) if len(p) > 7 else b"" for p in pieces]
+        size = np.fromiter(map(len, padded), np.int64, len(padded)) >> 3
+        self.blocks = _appended(self.blocks, self.blocks_used, np.frombuffer(b"".join(padded), "<u8"))
+        block_at = self.blocks_used + np.cumsum(size) - size
+        self.blocks_used += int(size.sum())
         where = np.searchsorted(self.keys, keys)
         self.at = np.insert(self.at, where, at)
         self.count = np.insert(self.count, where, count)
+        self.block_at = np.insert(self.block_at, where, block_at)
         self.keys = np.insert(self.keys, where, keys)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,24 +146,79 @@ class Encoder:
         return (np.union1d(offsets, inside) if spans else offsets), inside
 
     def _span(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, first, inverse = np.unique(hash_ranges(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > TABLE_PIECES:
+        """Ids of consecutive pieces and how many each has."""
+        size = ends - starts
+        kept = size <= LONGEST
+        keys = piece_keys(buf, starts, ends)
+        names, first, inverse = np.unique(keys[kept], return_index=True, return_inverse=True)
+        if len(self.keys) + len(names) > TABLE_PIECES:
             self.forget()
-        where = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
+        where = np.searchsorted(self.keys, names)
+        known = np.zeros(len(names), bool)
         inside = where < len(self.keys)
-        known[inside] = self.keys[where[inside]] == keys[inside]
+        known[inside] = self.keys[where[inside]] == names[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = buf.tobytes() if len(new) > 64 and len(buf) <= 4 * SPAN else None
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-            self._learn(keys[new], [(raw[a:b] if raw else buf[a:b].tobytes()).decode() for a, b in spans])
-            where = np.searchsorted(self.keys, keys)
-        row = where[inverse]
-        count = self.count[row]
-        total = int(count.sum())
-        shift = self.at[row] - (np.cumsum(count) - count)
-        return self.pool[np.repeat(shift, count) + np.arange(total)], count
+            at = np.flatnonzero(kept)[first[new]]
+            self._learn(names[new], _cut(buf, starts[at], ends[at]))
+            where = np.searchsorted(self.keys, names)
+        row = np.zeros(len(starts), np.int64)
+        row[kept] = where[inverse]
+        known = kept.copy()
+        long = np.flatnonzero(kept & (size > 7))
+        known[long[~self._same(buf, starts[long], ends[long], row[long])]] = False
+        if known.all():
+            count = self.count[row]
+            shift = self.at[row] - (np.cumsum(count) - count)
+            return self.pool[np.repeat(shift, count) + np.arange(int(count.sum()))], count
+        # very long pieces, and any whose key another piece has, come from the library itself
+        odd = np.flatnonzero(~known)
+        flat, n = self._library([p.decode() for p in _cut(buf, starts[odd], ends[odd])])
+        count, at = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        count[known], at[known] = self.count[row[known]], self.at[row[known]]
+        count[odd], at[odd] = n, self.used + np.cumsum(n) - n
+        pool = np.concatenate([self.pool[: self.used], flat])
+        return pool[np.repeat(at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], count
+
+    def _same(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether pieces beyond seven bytes equal those of the table's rows; lengths are part of a key."""
+        same = np.ones(len(starts), bool)
+        for i, here, number, words in blocks_of(buf, starts, ends):
+            who = np.repeat(np.arange(i, i + len(here)), here)
+            same[who[self.blocks[self.block_at[row[who]] + number] != words]] = False
+        return same
+
+
+def piece_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of pieces: length and bytes of up to seven bytes, else a hash that no such key equals.
+
+    Keys of longer pieces hold their length's low bits, so pieces of up to ``LONGEST``
+    bytes that have one key have one length.
+    """
+    size = ends - starts
+    keys = np.zeros(len(starts), np.uint64)
+    short, long = np.flatnonzero(size <= 7), np.flatnonzero(size > 7)
+    keys[long] = hash_ranges(buf, starts[long], ends[long]) & np.uint64((1 << 55) - 1)
+    keys[long] |= np.uint64(1 << 63) | (size[long].astype(np.uint64) & np.uint64(0xFF)) << np.uint64(55)
+    if len(short):
+        base, top = int(starts[0]), int(ends[-1])
+        held = np.zeros(top - base + 8, np.uint8)
+        held[: top - base] = buf[base:top]
+        words = np.ndarray((top - base + 1,), "<u8", held, 0, (1,))[starts[short] - base]
+        keys[short] = words & KEEP[size[short]] | size[short].astype(np.uint64) << np.uint64(56)
+    return keys
+
+
+def _cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = buf.tobytes() if len(starts) > 64 and len(buf) <= 4 * SPAN else None
+    return [raw[a:b] if raw else buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _appended(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    if used + len(more) > len(pool):
+        pool = np.concatenate([pool[:used], np.zeros(used + 2 * len(more), pool.dtype)])
+    pool[used : used + len(more)] = more
+    return pool
 
 
 @lru_cache(maxsize=2)

@@ -106,6 +106,16 @@ def test_shingles_equal_plain_ones():
         assert same.setdefault(shingles(t), h[at[i] : at[i + 1]].tobytes()) == h[at[i] : at[i + 1]].tobytes()
 
 
+def test_words_that_cancel_in_weak_hashes_have_sets_of_their_own():
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    texts = [f"one {x} two three four", f"one {y} two three four", x, y, x + y, y + x]
+    h, at = shingle_sets(*text_bytes(pa.array(texts, pa.string())), 4)
+    sets = [frozenset(h[at[i] : at[i + 1]].tolist()) for i in range(len(texts))]
+    assert len(set(sets)) == 6 and not sets[0] & sets[1]
+
+
 def test_near_sets_share_a_key():
     """Whatever shingles are taken for common."""
     rng = np.random.default_rng(2)

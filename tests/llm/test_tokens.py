@@ -7,9 +7,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from tessella.llm import dac, packing
+from tessella.llm import dac, encode, packing
 from tessella.llm.bytehash import text_bytes
-from tessella.llm.encode import encoder
+from tessella.llm.encode import Encoder, encoder
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,32 @@ def test_added_token_has_its_id_wherever_a_text_holds_it():
     assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def thue_morse(a, b, doublings):
+    """Two different words of which polynomial hashes modulo 2^64 can't tell one from the other."""
+    x, y = a, b
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_ids_never_hang_on_a_hash(monkeypatch):
+    """Words that cancel in weak hashes, long words, and a table whose keys all collide."""
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(6)
+    texts = [w for n in (3, 5, 6, 7, 10, 11) for a, b in ("ab", "xq", "zk") for w in thue_morse(a, b, n)]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 140))) for _ in range(10_000)]
+    texts += [" ".join(texts[:30]), "".join(f" {w}" for w in texts[40:400])]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    def ids():
+        flat, at = Encoder(PATH).encode(*text_bytes(pa.array(texts, pa.string())))
+        return [flat[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    assert ids() == want
+    monkeypatch.setattr(encode, "hash_ranges", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    assert ids() == want
+
+
 def test_archive_of_texts_with_an_added_token(spark):
     ids = Tokenizer.from_file(PATH).encode("a<|endoftext|>b", add_special_tokens=False).ids + [0]
     (row,) = dac.token_archive(_docs(spark, [(1, "a<|endoftext|>b", "x")]), PATH).collect()
