@@ -2,7 +2,7 @@
 
 Documents in ascending id order make one stream of tokens for each range partition.
 A sequence is a window of at most ``seq_len`` tokens between two cut points: document
-ends, sentence ends, and inside a sentence that is very long, every few tokens.  The
+ends, sentence ends, and every few tokens of a sentence that no window holds.  The
 programme chooses the windows that minimise padding plus a penalty for each cut inside
 a document.  Padding is linear in the window's length, so the best predecessor is a
 sliding-window minimum that a monotone queue keeps; windows whose length is a power of
@@ -31,15 +31,18 @@ SCHEMA = (
 )
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, long_sentence: int, step: int):
-    """Cut points of a stream and the kind of each: 0 document, 1 sentence, 2 inside a sentence."""
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, seq_len: int, step: int):
+    """Cut points of a stream and the kind of each: 0 document, 1 sentence, 2 inside a sentence.
+
+    A sentence of more than ``seq_len`` tokens is cut every ``step`` tokens.
+    """
     kind = np.full(len(ids) + 1, 3, np.int8)
     kind[1:][ends_sentence[ids]] = 1
     kind[doc_ends] = 0
     kind[0] = 0
     at = np.flatnonzero(kind < 3)
     gaps = np.diff(at)
-    for i in np.flatnonzero(gaps > long_sentence):
+    for i in np.flatnonzero(gaps > seq_len):
         kind[np.arange(at[i] + step, at[i + 1], step)] = 2
     at = np.flatnonzero(kind < 3)
     return at, kind[at]
@@ -105,7 +108,7 @@ class _Stream:
         """Finished sequences as a batch of pieces; all but the last window unless ``last``."""
         names, null, sizes, gone = self.docs
         doc_end = np.cumsum(sizes - gone)
-        at, kind = cut_points(self.ids, doc_end, self.ends_sentence, self.seq_len // 4, self.seq_len // 16)
+        at, kind = cut_points(self.ids, doc_end, self.ends_sentence, self.seq_len, self.seq_len // 16)
         edges = at[best_windows(at, self.penalties[kind], self.seq_len)]
         if not last:
             if len(edges) < 3:
