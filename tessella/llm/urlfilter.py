@@ -9,8 +9,7 @@ swept in order with a stack of the nested rules whose intervals are open.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,7 +19,7 @@ from pyspark.sql.types import IntegerType
 from tessella.llm.common import partitions
 
 _LAST = "\U0010ffff"
-_LOW, _HIGH = -(1 << 63), 1 << 63
+_LOW, _HIGH = np.int64(-(1 << 63)), np.int64((1 << 63) - 1)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -36,6 +35,29 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, "\\.", -1)), "."), F.lit("."))
 
 
+class Borders:
+    """At most ``ranges - 1`` borders (key, salt) between ranges of rows that have these columns."""
+
+    def __init__(self, rows: DataFrame, picked: int, ranges: int):
+        pick = F.xxhash64(F.lit("border"), "salt", "key")
+        seen = sorted((r.key, r.salt) for r in rows.select("key", "salt", pick.alias("pick")).orderBy("pick", "salt", "key").limit(picked).collect())
+        chosen = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
+        self.keys = np.array([k for k, _ in chosen], object)
+        self.salts = np.array([s for _, s in chosen], np.int64)
+
+    def places(self, key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The range of each row: how many borders are not beyond it."""
+        low = np.searchsorted(self.keys, key, "left")
+        high = np.searchsorted(self.keys, key, "right")
+        out = high.astype(np.int64)
+        # hot keys lie on several borders; rows of the same stretch are placed at once
+        on = np.flatnonzero(low < high)
+        for first in np.unique(low[on]):
+            rows = on[low[on] == first]
+            out[rows] = first + np.searchsorted(self.salts[first : high[rows[0]]], salt[rows], "right")
+        return out
+
+
 class _Open:
     """Rules of one reversed host: paths by length, longest first."""
 
@@ -82,7 +104,8 @@ def _sweep(default: str):
 
 
 def filter_urls(
-    pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None, id_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None, range_rows: int = 250_000,
+    id_col: str = "page_id", url_col: str = "url",
 ) -> DataFrame:
     """For each row of ``pages``: page_id, host, path, the rule that fits and its verdict.
 
@@ -92,27 +115,27 @@ def filter_urls(
     null and the verdict ``default``.  Rules with a null field are left out.  Repeated and
     null ids are kept as they are; other columns are not read.
 
-    ``ranges`` (twice the shuffle partitions unless given) only balances the work: range
-    borders come from the 20 urls for each range that have the smallest row hashes.
+    ``ranges`` only balances the work: unless given, there are twice as many as shuffle
+    partitions, and at least one for each ``range_rows`` rows.  Borders come from 20 urls
+    for each range, picked by a hash of their own, so that the row hashes (``salt``) of a
+    hot host's picked rows spread over all of its rows and cut it evenly.
     """
     spark = pages.sparkSession
-    ranges = ranges or 2 * partitions(spark)
     host, path = url_parts(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    ranges = ranges or max(2 * partitions(spark), -(-pages.count() // range_rows))
     urls = urls.withColumns({"key": reversed_host(F.col("host")), "salt": F.xxhash64("page_id", "host", "path")})
-    seen = sorted((r.key, r.salt) for r in urls.select("key", "salt").orderBy("salt", "key").limit(20 * ranges).collect())
-    borders = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
+    borders = Borders(urls, 20 * ranges, ranges)
 
     @F.pandas_udf(IntegerType())
     def range_of(key: pd.Series, salt: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(borders, x) for x in zip(key, salt)], dtype="int32")
+        return pd.Series(borders.places(key.to_numpy(object), salt.to_numpy(np.int64)), dtype="int32")
 
     @F.pandas_udf("struct<low:int,high:int>")
     def ranges_of(key: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"low": [bisect_right(borders, (k, _LOW)) for k in key], "high": [bisect_right(borders, (k + _LAST, _HIGH)) for k in key]},
-            dtype="int32",
-        )
+        low = borders.places(key.to_numpy(object), np.full(len(key), _LOW))
+        high = borders.places((key + _LAST).to_numpy(object), np.full(len(key), _HIGH))
+        return pd.DataFrame({"low": low, "high": high}, dtype="int32")
 
     rows = urls.withColumn("range", range_of("key", "salt")).drop("salt")
     upper = "".join(map(chr, range(65, 91)))

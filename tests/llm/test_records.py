@@ -110,6 +110,18 @@ def test_url_rules(spark, ranges):
     assert sorted(map(tuple, got), key=str) == sorted(((k, *_judge(u)) for k, u in rows), key=str)
 
 
+def test_hot_host_is_cut_evenly(spark):
+    """One host with 40 % of 200,000 rows: no range has twice the mean."""
+    from pyspark.sql import functions as F
+
+    host = F.when(F.col("id") % 5 < 2, "com.hot.").otherwise(F.concat(F.lit("org.h"), F.col("id") % 997, F.lit(".")))
+    rows = spark.range(200_000).select(host.alias("key"), F.xxhash64("id").alias("salt")).toPandas()
+    ranges = 64
+    borders = urlfilter.Borders(spark.createDataFrame(rows), 20 * ranges, ranges)
+    sizes = Counter(borders.places(rows.key.to_numpy(object), rows.salt.to_numpy()).tolist())
+    assert len(sizes) == ranges and max(sizes.values()) <= 2 * len(rows) / ranges
+
+
 def test_no_rules_and_no_urls(spark):
     rules = spark.createDataFrame([], "host string, path string, action string")
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
