@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +48,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def running(values: Column, merge: Callable[[Column, Column], Column], none: int, stretch: int = 128) -> Column:
+    """Running totals of a non-empty array of whole numbers by an associative ``merge``.
+
+    Arrays can't grow in place, so totals are built within stretches and then shifted by
+    what lies before each: the work is linear but for one element a stretch.
+    """
+    array = "array<bigint>"
+    start = F.struct(F.lit(none).cast("bigint").alias("now"), F.array().cast(array).alias("out"))
+
+    def totals(xs: Column, before: bool) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            now = merge(acc["now"], x)
+            kept = acc["now"] if before else now
+            return F.struct(now.alias("now"), F.concat(acc["out"], F.array(kept)).alias("out"))
+
+        return F.aggregate(xs, start, step)["out"]
+
+    def build(xs: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(stretch)), lambda a: F.slice(xs, a, F.lit(stretch)))
+        inner = F.transform(cuts, lambda c: totals(c, before=False))
+        return F.transform(
+            F.array(inner),
+            lambda parts: F.flatten(
+                F.zip_with(
+                    parts,
+                    totals(F.transform(parts, lambda p: F.element_at(p, -1)), before=True),
+                    lambda p, b: F.transform(p, lambda v: merge(b, v)),
+                )
+            ),
+        )[0]
+
+    # the array is bound once, not computed anew for each use
+    return F.transform(F.array(F.transform(values, lambda v: v.cast("bigint"))), build)[0]
+
+
 def in_order(df: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """Deal rows out by ascending ``key`` (nulls first, ties by text hash) and sort them."""
     tie = F.xxhash64(F.col(text))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_path
+from tessella.llm.common import fresh_path, running
 
 
 @dataclass(frozen=True)
@@ -50,28 +50,27 @@ def spans(text: Column, rule: Rule) -> Column:
     """Spans of a rule's leftmost, non-overlapping matches, in code points, end exclusive.
 
     The text between matches and the matches themselves alternate, so their lengths
-    added up give every match's place.
+    added up give every match's place; the sums take linear time.
     """
     pattern = F.lit(rule.pattern)
     parts = F.struct(
-        F.split(text, rule.pattern, -1).alias("between"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("between"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("match"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("value"),
     )
 
-    def step(acc: Column, p: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(p["between"], i))
-        end = start + F.length(F.get(p["match"], i))
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        kept = F.when(F.length(F.get(p["value"], i)) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    found = F.transform(
-        F.array(parts),
-        lambda p: F.aggregate(F.sequence(F.lit(0), F.size(p["match"]) - 1), none, lambda acc, i: step(acc, p, i))["out"],
-    )
-    return F.when(text.rlike(rule.pattern), F.get(found, F.lit(0))).otherwise(F.array().cast(_SPAN))
+    def build(p: Column) -> Column:
+        ends = running(F.transform(p["match"], lambda n, i: n + F.get(p["between"], i)), lambda a, b: a + b, 0)
+        found = F.transform(
+            ends,
+            lambda end, i: F.struct(
+                (end - F.get(p["match"], i)).cast("int").alias("start"), end.cast("int").alias("end"), (F.get(p["value"], i) >= rule.least).alias("kept")
+            ),
+        )
+        return F.transform(F.filter(found, lambda s: s["kept"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    found = F.get(F.transform(F.array(parts), build), F.lit(0))
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(_SPAN))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
@@ -141,21 +140,53 @@ def find_secrets(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
 def redact(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span in text replaced by ``mark``; overlapping spans become one mark.
 
-    All rows and columns are kept.
+    All rows and columns are kept; a null text stays null.  Work is linear in text and
+    spans.
+    """
+    key, spans_ = _unused("blob_id", docs), _unused("found", docs)
+    heads = blob_findings(ledger, rules).select(F.col("blob_id").alias(key), F.col("found").alias(spans_))
+    joined = docs.withColumn(key, blob_id(F.col("text").cast("string"))).join(heads, key, "left")
+    clean = F.when(F.col(spans_).isNotNull(), masked(F.col("text"), F.col(spans_), mark)).otherwise(F.col("text"))
+    return joined.withColumn("text", clean).select(*docs.columns)
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    """``name`` behind as many underscores as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def masked(text: Column, found: Column, mark: str, stretch: int = 4096) -> Column:
+    """``text`` with ``mark`` for each of the sorted, non-empty spans; what overlaps is one.
+
+    The text is cut into stretches of characters once, so what lies between two spans is
+    put together from whole stretches and two short ends.
     """
-    key = "__blob_id"
-    joined = docs.withColumn(key, blob_id(F.col("text"))).join(
-        blob_findings(ledger, rules).select(F.col("blob_id").alias(key), F.col("found").alias("__found")), key, "left"
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stretch}}}"), F.lit(0)).alias("cut"),
+        F.transform(found, lambda s: s["start"]).alias("start"),
+        running(F.transform(found, lambda s: s["end"]), F.greatest, 0).alias("reach"),
+        F.length(text).alias("n"),
     )
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+    def between(p: Column, a: Column, b: Column) -> Column:
+        """Characters from a up to b."""
+        first, last = F.floor(a / stretch).cast("int"), F.floor(b / stretch).cast("int")
+        at, to = (a - first * stretch).cast("int"), (b - last * stretch).cast("int")
+        whole = F.array_join(F.slice(p["cut"], first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, F.substring(F.get(p["cut"], first), at + 1, to - at)).otherwise(
+            F.concat(F.substring(F.get(p["cut"], first), at + 1, F.lit(stretch)), whole, F.coalesce(F.substring(F.get(p["cut"], last), F.lit(1), to), F.lit("")))
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.col("__found").isNotNull(), F.aggregate("__found", start, step, end)).otherwise(F.col("text"))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    def build(p: Column) -> Column:
+        # what lies before span i begins where all spans before it have ended
+        before = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(p["reach"], i - 1))
+        gaps = F.transform(
+            p["start"], lambda start, i: F.when((i == 0) | (start >= before(i)), F.coalesce(between(p, before(i), start.cast("bigint")), F.lit("")))
+        )
+        tail = F.coalesce(between(p, F.element_at(p["reach"], -1), p["n"].cast("bigint")), F.lit(""))
+        return F.array_join(F.concat(F.filter(gaps, lambda g: g.isNotNull()), F.array(tail)), mark)
+
+    return F.get(F.transform(F.array(parts), build), F.lit(0))
