@@ -75,8 +75,10 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, tolerance: float = 1e
     """``goals`` with the dual variable ``lam`` of each open source, by guarded Newton steps.
 
     ``cells`` has source, size and n.  A step sums words and their slope over all cells of
-    a source; it falls back to halving where Newton leaves the bracket.
+    a source; it falls back to halving where Newton leaves the bracket.  Sums are those of
+    decimals, which don't depend on the order of their terms, so reruns agree to the bit.
     """
+    exact = lambda x: F.sum(x.cast("decimal(38,6)")).cast("double")
     mean = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     low = F.least(F.log(F.col("target") / F.col("source_size")), F.lit(0.0)) * F.col("mean") - 1e-9
     state = (
@@ -93,7 +95,7 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, tolerance: float = 1e
         sums = (
             cells.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
             .groupBy("s", "source_size", "target", "mean", "lam", "low", "high")
-            .agg(F.sum(words).alias("words"), F.sum(F.when(free, words * z).otherwise(0.0)).alias("slope"))
+            .agg(exact(words).alias("words"), exact(F.when(free, words * z).otherwise(0.0)).alias("slope"))
         )
         over = F.col("words") > F.col("target")
         high, low = F.when(over, F.col("lam")).otherwise(F.col("high")), F.when(over, F.col("low")).otherwise(F.col("lam"))
@@ -110,10 +112,12 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, tolerance: float = 1e
     return state.select("source", "mean", "lam")
 
 
-def _quotas(cells: DataFrame, most: float) -> DataFrame:
+def _quotas(cells: DataFrame, stretch: int = 256) -> DataFrame:
     """``cells`` (source, size, n, rate) with ``copies`` for each: rates rounded, debts carried.
 
-    A source's cells meet in one array, one element for each distinct size.
+    A source's cells meet in one array, one element for each distinct size whatever the
+    number of documents.  They are walked in stretches, since an array can't grow in
+    place; so the work is linear.
     """
 
     def step(acc: Column, c: Column) -> Column:
@@ -123,10 +127,20 @@ def _quotas(cells: DataFrame, most: float) -> DataFrame:
         row = F.array(F.struct(c["size"].alias("size"), q.alias("copies")))
         return F.struct((owed - q * c["size"]).alias("owed"), F.concat(acc["out"], row).alias("out"))
 
-    none = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,copies:bigint>>").alias("out"))
+    def walk(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["owed"].alias("owed"), F.array().cast(kind).alias("out"))
+        walked = F.transform(F.array(part), lambda p: F.aggregate(p, start, step))[0]
+        return F.transform(
+            F.array(walked), lambda w: F.struct(w["owed"].alias("owed"), F.concat(acc["out"], F.array(w["out"])).alias("out"))
+        )[0]
+
+    kind = "array<struct<size:bigint,copies:bigint>>"
+    none = F.struct(F.lit(0.0).alias("owed"), F.array().cast(f"array<{kind}>").alias("out"))
     listed = F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False)
     rows = cells.filter(F.col("size") > 0).groupBy("source").agg(listed.alias("cells"))
-    return rows.select("source", F.explode(F.aggregate("cells", none, step)["out"]).alias("c")).select("source", "c.*")
+    parts = F.transform(F.sequence(F.lit(1), F.size("cells"), F.lit(stretch)), lambda a: F.slice("cells", a, F.lit(stretch)))
+    rows = rows.select("source", parts.alias("parts"))
+    return rows.select("source", F.explode(F.flatten(F.aggregate("parts", none, walk)["out"])).alias("c")).select("source", "c.*")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, text_col: str = "text") -> DataFrame:
@@ -154,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     )
     rate = F.coalesce(_rate(F.col("lam"), F.col("size") / F.col("mean"), most), F.when(F.col("full"), float(most)).otherwise(0.0))
     rated = rated.select("source", "source_size", "target", "size", "n", rate.alias("rate"))
-    quota = _quotas(rated, most)
+    quota = _quotas(rated)
     plan = (
         rated.withColumnRenamed("source", "s")
         .withColumnRenamed("size", "z")

@@ -4,10 +4,12 @@ import base64
 import gzip
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from tessella.llm import common, mixing, secrets, urlfilter, warc
 
 PAGES = [
@@ -112,8 +114,6 @@ def test_url_rules(spark, ranges):
 
 def test_hot_host_is_cut_evenly(spark):
     """One host with 40 % of 200,000 rows: no range has twice the mean."""
-    from pyspark.sql import functions as F
-
     host = F.when(F.col("id") % 5 < 2, "com.hot.").otherwise(F.concat(F.lit("org.h"), F.col("id") % 997, F.lit(".")))
     rows = spark.range(200_000).select(host.alias("key"), F.xxhash64("id").alias("salt")).toPandas()
     ranges = 64
@@ -189,6 +189,24 @@ def test_redaction(spark):
     assert got == {1: "é [SECRET]! [SECRET]", 2: None, 3: "clean"}
 
 
+def test_many_matches_in_very_long_texts(spark):
+    """Spans and masks of 20,000 matches, with overlaps and stretches of every length between them."""
+    rng = random.Random(8)
+    parts = ["token=" + "a0" * 20, "é😀" * 9, "password=bbbbbb", " ", "x" * 9000, "AKIA" + "Q" * 17, "plain words ", "passwd:token=abcdef"]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (1, 2, 5, 40, 400)] + ["é password=aaaaaa" * 20_000, "q" * 8192, "token=abcdef" + " " * 4084]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ledger = secrets.update_ledger(docs)
+    for r in secrets.find_secrets(docs, ledger).collect():
+        assert r.spans == _line(_spans(texts[r.doc_id]))
+    for k, got in secrets.redact(docs.withColumnRenamed("doc_id", "blob_id"), ledger).select("blob_id", "text").collect():
+        out, at = [], 0
+        for _, a, b in _spans(texts[k]):
+            if a >= at:
+                out += [texts[k][at:a], "[SECRET]"]
+            at = max(at, b)
+        assert got == "".join(out) + texts[k][at:]
+
+
 def test_no_documents_no_secrets(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.find_secrets(docs, secrets.update_ledger(docs)).count() == 0
@@ -276,5 +294,41 @@ def test_repeated_rows_share_out_the_extra_copies(spark):
     assert Counter((r.doc_id, r.source) for r in out.collect()) == sum((Counter({(r.doc_id, r.source): r.copies}) for r in got), Counter())
 
 
+def test_tilts_solve_the_dual(spark):
+    """Rates against bisection in plain Python: exponential in size, capped, meeting the target."""
+    rows = _mix_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    units = mixing.sized(docs)
+    cells = units.groupBy("source", "size").agg(F.sum("rows").alias("n"))
+    sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    tilt = {r.source: r for r in mixing.tilts(cells, mixing.targets(sources, (5, 2, 1), 3), 3).collect()}
+    sizes = defaultdict(list)
+    for _, t, s in rows:
+        sizes[s].append(len((t or "").split()))
+    want = _targets({s: sum(v) for s, v in sizes.items()})
+    assert tilt and set(tilt) == {s for s, v in sizes.items() if sum(v) and want[s] < 3 * sum(v)}
+    for s, r in tilt.items():
+        mean = sum(sizes[s]) / len(sizes[s])
+        low, high = -100.0, 100.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            words = sum(z * min(3.0, math.exp(min(lam * z / mean, 50))) for z in sizes[s])
+            low, high = (low, lam) if words > want[s] else (lam, high)
+        assert math.isclose(r["mean"], mean) and math.isclose(r.lam, low, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_rounding_is_linear_and_carries_debts(spark):
+    """50,000 sizes of one source, walked as plain Python walks them."""
+    rng = random.Random(1)
+    cells = [(z, rng.randint(1, 4), rng.random() * 3) for z in range(1, 50_001)]
+    got = {r["size"]: r.copies for r in mixing._quotas(spark.createDataFrame([("s", *c) for c in cells], "source string, size long, n long, rate double")).collect()}
+    owed = 0.0
+    for z, n, rate in sorted(cells, reverse=True):
+        owed += n * rate * z
+        q = min(n * math.ceil(rate), max(n * math.floor(rate), math.floor(owed / z + 0.5)))
+        assert got[z] == q
+        owed -= q * z
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mixed_sizes(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
