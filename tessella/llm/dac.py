@@ -7,7 +7,8 @@ is read from a few bytes without decoding a block.
 
 An *image* is one self-contained byte string of this format: header, document ids and
 starts, then for each level its chunks, bitmap and rank directory.  Images are rows of
-a Parquet table, since Spark can write and read that in any store.
+a Parquet table, since Spark can write and read that in any store; its pages are not
+compressed, so the bytes of an image lie there as they are.
 """
 
 from __future__ import annotations
@@ -99,6 +100,25 @@ class Image:
             shift += 8
         return value
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many places at once, by the same few bytes for each."""
+        value, at, who = np.zeros(len(places), np.uint32), np.asarray(places, np.int64), np.arange(len(places))
+        for k, (chunks, bits, ranks) in enumerate(self.levels):
+            value[who] |= chunks[at].astype(np.uint32) << np.uint32(8 * k)
+            go_on = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            at, who = at[go_on], who[go_on]
+            found = np.empty(len(at), np.int64)
+            for low in range(0, len(at), 65_536):
+                part = at[low : low + 65_536]
+                block = part // RANK_BITS
+                byte = (block * (RANK_BITS // 8))[:, None] + np.arange(RANK_BITS // 8)
+                inside = part[:, None] - 8 * byte  # bits of each byte that lie before the place
+                kept = (1 << np.clip(inside, 0, 8)) - 1
+                before = np.bitwise_count(bits[np.minimum(byte, len(bits) - 1)] & kept.astype(np.uint8)).sum(axis=1)
+                found[low : low + 65_536] = ranks[block] + before
+            at = found
+        return value
+
     def tokens(self) -> np.ndarray:
         """All ids, from the last level down."""
         higher = np.zeros(0, np.uint32)
@@ -158,7 +178,7 @@ def write_images(
 
     rows = in_order(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text")
     rows.mapInArrow(encode, "shard int, seq int, n_tokens long, n_docs long, image binary").write.option(
-        "compression", "zstd"
+        "compression", "none"
     ).parquet(path)
 
 
@@ -202,18 +222,53 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     images = spark.read.parquet(path)
+    docs = images.select("shard", "seq", "image").mapInArrow(
+        decode, "shard int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"
+    )
+    return docs.join(_bases(images), ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _bases(images: DataFrame) -> DataFrame:
+    """(shard, seq, base, n) of each image: the tokens before it and its own; images aren't read."""
     heads = images.select("shard", "seq", F.col("n_tokens").alias("n"))
     shards = heads.groupBy("shard").agg(F.sum("n").alias("n"))
     # a row for each shard, however many documents there are
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_base"))
     inside = F.sum("n").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n")
-    bases = heads.select("shard", "seq", inside.alias("image_base")).join(before, "shard")
-    docs = images.select("shard", "seq", "image").mapInArrow(
-        decode, "shard int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"
-    )
-    return docs.join(bases, ["shard", "seq"]).select(
-        "doc_id", (F.col("shard_base") + F.col("image_base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    bases = heads.select("shard", "seq", "n", inside.alias("inside")).join(before, "shard")
+    return bases.select("shard", "seq", (F.col("shard_base") + F.col("inside")).alias("base"), "n")
+
+
+#: Token positions of one bucket, by which positions find their image.
+BUCKET = 1 << 20
+
+
+def tokens_at(positions: DataFrame, path: str, position_col: str = "position") -> DataFrame:
+    """(position, token) for each distinct position asked for: random access to the archive at ``path``.
+
+    Positions count all tokens of the archive, as ``start`` does; nulls and positions
+    outside of it have no row.  Images without a position are not joined, and a token is
+    read from its image in place, without decoding the others.
+    """
+    images = positions.sparkSession.read.parquet(path)
+    bucket = lambda c: F.floor(c / BUCKET)
+    asked = positions.select(F.col(position_col).cast("long").alias("position")).dropna().distinct()
+    spans = _bases(images).filter("n > 0")
+    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("base")), bucket(F.col("base") + F.col("n") - 1))))
+    hit = asked.withColumn("bucket", bucket(F.col("position"))).join(spans, "bucket")
+    hit = hit.filter((F.col("position") >= F.col("base")) & (F.col("position") < F.col("base") + F.col("n")))
+    # at most an image's tokens
+    wanted = hit.groupBy("shard", "seq", "base").agg(F.collect_list(F.col("position") - F.col("base")).alias("places"))
+
+    def read(batches):
+        for batch in batches:
+            for data, base, places in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+                at = places.values.to_numpy(zero_copy_only=False)
+                found = Image(data.as_buffer()).take(at)
+                yield pa.record_batch([pa.array(at + base), pa.array(found.astype(np.int32))], names=["position", "token"])
+
+    ready = images.select("shard", "seq", "image").join(wanted, ["shard", "seq"]).select("image", "base", "places")
+    return ready.mapInArrow(read, "position long, token int")
 
 
 def token_archive(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:

@@ -84,6 +84,8 @@ def test_image_gives_any_token():
     image = dac.Image(dac.encode_image(ids, np.array([4, 9]), np.array([False, True]), np.array([0, 10, 3000])))
     assert image.tokens().tolist() == ids.tolist()
     assert [image.token(i) for i in range(3000)] == ids.tolist()
+    places = rng.permutation(3000)
+    assert image.take(places).tolist() == ids[places].tolist() and image.take(places[:0]).size == 0
     with pytest.raises(IndexError):
         image.token(3000)
     empty = dac.Image(dac.encode_image(ids[:0], np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(1, np.int64)))
@@ -121,6 +123,24 @@ def test_archive_round_trip(spark, plain):
         at += n
 
 
+def test_tokens_are_found_by_position(spark, plain, monkeypatch):
+    from tessella.llm.common import fresh_path
+
+    monkeypatch.setattr(dac, "BUCKET", 64)
+    path = fresh_path(spark, "dac")
+    dac.write_images(_docs(spark), path, PATH, image_tokens=50)
+    docs = sorted(dac.read_images(spark, path).collect(), key=lambda r: r.start)
+    texts = {(r[0], len(ids)): ids for r in ROWS for ids in [plain(r[1]) + [0]]}
+    whole = {}
+    for r in docs:
+        ids = texts[r.doc_id, r.n_tokens]
+        whole.update({r.start + i: t for i, t in enumerate(ids)})
+    asked = [(p, 1) for p in [*range(0, len(whole), 7), 0, 0, len(whole) - 1, len(whole), -1, None]]
+    got = dac.tokens_at(spark.createDataFrame(asked, "position long, token int"), path).collect()
+    assert len(got) == len({p for p, _ in asked if p is not None and 0 <= p < len(whole)})
+    assert all(r.token == whole[r.position] for r in got)
+
+
 def test_archive_of_nothing(spark):
     assert dac.token_archive(_docs(spark, []), PATH).count() == 0
 
