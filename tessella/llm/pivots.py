@@ -2,9 +2,10 @@
 
 Vectors of integer codes get one coordinate more, which gives all the same length; the
 largest inner product is then the nearest vector.  Each vector is keyed by its nearest
-pivot and the distance to it.  A query visits a pivot's vectors in annuli that widen
-around its own distance from the pivot, and stops where the triangle inequality puts all
-that remains beyond its k-th best.  Scores are exact integers.
+pivot and the distance to it, which put it into an annulus.  A query first visits the
+annulus that lies nearest, which gives it a k-th best score; then it is sent only to the
+annuli that the triangle inequality leaves, and within these it widens in blocks until
+the same bound stops it.  Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import written
-from tessella.llm.vectors import best, distinct_vectors, query_rows, valid
+from tessella.llm.vectors import best, distinct_vectors, in_blocks, query_rows, sampled, spread_parts, valid
 
 _FOUND = "query_id long, query_key long, vec_id long, score long"
+_SHARD = ["pivot", "ring", "cut", "block"]
 
 
 def matrix(column) -> np.ndarray:
@@ -36,6 +38,8 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     top = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
     if top * top * x.shape[1] < 2**53:
         return (x @ q.T).astype(np.int64)
+    if top * top * x.shape[1] >= 2**63:
+        raise OverflowError("inner products don't fit into 64 bits")
     return x.astype(np.int64) @ q.astype(np.int64).T
 
 
@@ -53,7 +57,7 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Annuli:
-    """One shard: a pivot's vectors in order of distance, in blocks."""
+    """One shard: vectors of a pivot's annulus in order of distance, in blocks."""
 
     def __init__(self, codes, members, dist, long2: float, block: int):
         order = np.argsort(dist, kind="stable")
@@ -65,14 +69,19 @@ class _Annuli:
         low = np.array([self.dist[a] for a in self.edges[:-1]])
         high = np.array([self.dist[b - 1] for b in self.edges[1:]])
         self.low, self.high = low, high
+        self.computed = 0
 
-    def search(self, q: np.ndarray, to_pivot: np.ndarray, k: int):
-        """For each query, rows (score, place) of its k + 1 best distinct vectors."""
+    def search(self, q: np.ndarray, to_pivot: np.ndarray, k: int, bar: np.ndarray):
+        """For each query, rows (score, place) of its k + 1 best distinct vectors.
+
+        ``bar`` is a score that k candidates of each query are known to reach; what the
+        bound puts below it may be left out.  ``computed`` counts products.
+        """
         gap = np.maximum(0, np.maximum(to_pivot[:, None] - self.high, self.low - to_pivot[:, None]))
         turn = np.argsort(gap, axis=1, kind="stable")
         norm2 = (q**2).sum(axis=1)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q]
-        reach = np.full(len(q), np.inf)
+        reach = _reach(bar, norm2, self.long2)
         slack = 1e-6 * (1 + np.sqrt(norm2 + self.long2))
         for step in range(turn.shape[1]):
             block = turn[:, step]
@@ -83,6 +92,7 @@ class _Annuli:
                 rows = np.flatnonzero(active & (block == b))
                 a, e = self.edges[b], self.edges[b + 1]
                 scores = products(self.x[a:e], q[rows])
+                self.computed += scores.size
                 for j, r in enumerate(rows):
                     s = np.concatenate([found[r][0], scores[:, j]])
                     at = np.concatenate([found[r][1], np.arange(a, e)])
@@ -93,10 +103,15 @@ class _Annuli:
                     order = np.lexsort((self.first[at], -s))[: k + 1]
                     found[r] = s[order], at[order]
                     if len(order) > k:
-                        reach[r] = np.sqrt(max(0.0, norm2[r] + self.long2 - 2 * float(s[order[-1]])))
+                        reach[r] = min(reach[r], np.sqrt(max(0.0, norm2[r] + self.long2 - 2 * float(s[order[-1]]))))
         return found
 
 
+def _reach(bar: np.ndarray, norm2: np.ndarray, long2: float) -> np.ndarray:
+    """The distance at which a lifted vector has the score ``bar``; infinite where there is none."""
+    return np.where(np.isfinite(bar), np.sqrt(np.maximum(0, norm2 + long2 - 2 * np.where(np.isfinite(bar), bar, 0))), np.inf)
+
+
 def exact_top_k(
     vectors: DataFrame,
     k: int = 5,
@@ -109,64 +124,120 @@ def exact_top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` largest inner products of codes.
 
-    A code is floor(scale * component).  Queries are the rows whose vec_id is divisible by
-    ``every``; candidates are all rows with another id; ties go to the smaller id.  Rows
-    that ``vectors.valid`` leaves out take no part; repeats of a row count once, and an id
-    that has several vectors is a query and a candidate with each.  Pivots come from the
-    first ``sample`` distinct vectors in hash order; they steer the work only.  A pivot's
-    vectors are cut by hash into shards of about ``shard_rows``.
+    A code is floor(scale * component); scores that don't fit into 64 bits are an error.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows
+    with another id; ties go to the smaller id.  Rows that ``vectors.valid`` leaves out
+    take no part; repeats of a row count once, and an id that has several vectors is a
+    query and a candidate with each.  Pivots and the borders of their annuli come from the
+    first ``sample`` distinct vectors in hash order; they steer the work only.  An annulus
+    with more than ``shard_rows`` vectors is cut by hash, and queries come in blocks, so
+    what a task holds doesn't grow with the table.
     """
     spark = vectors.sparkSession
     codes = F.transform("vector", lambda x: F.floor(x.cast("double") * scale))
     rows = valid(vectors).withColumn("vector", codes)
     points = written(distinct_vectors(rows, k + 1), "codes")
     norm2 = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    top = points.agg(F.max(norm2)).first()[0]
+    top, count = points.agg(F.max(norm2), F.count("*")).first()
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     long2 = float(top)
-    few = points.orderBy(F.xxhash64("vector"), "vector").limit(sample).select("vector").collect()
 
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.column_stack([x, np.sqrt(np.maximum(0, long2 - (x**2).sum(axis=1)))])
 
-    centres = choose_pivots(lifted(np.array([r.vector for r in few], float)), pivots)
+    few = lifted(sampled(points, sample))
+    centres = choose_pivots(few, pivots)
 
     def distances(x: np.ndarray) -> np.ndarray:
         square = (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * x @ centres.T
         return np.sqrt(np.maximum(0, square))
 
+    d = distances(few)
+    near, step = d.argmin(axis=1), max(1, round(shard_rows * len(few) / count))
+    borders = [np.sort(d[near == p, p])[step::step] for p in range(len(centres))]
+
     def key(batches):
         for b in batches:
             d = distances(lifted(matrix(b.column("vector"))))
             near = d.argmin(axis=1)
-            pairs = [pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *pairs], names=[*b.schema.names, "pivot", "dist"])
-
-    keyed = written(points.mapInArrow(key, "vector array<long>, members array<long>, pivot int, dist double"), "keyed")
-    sizes = {r.pivot: r["count"] for r in keyed.groupBy("pivot").count().collect()}  # a row for each pivot
-    cuts = {p: -(-n // shard_rows) for p, n in sizes.items()}
-    shards = [(p, s) for p in sorted(cuts) for s in range(cuts[p])]
-    cut_of = F.element_at(F.create_map(*[F.lit(x) for p, c in cuts.items() for x in (p, c)]), F.col("pivot"))
-    index = keyed.withColumn("shard", F.pmod(F.xxhash64("vector"), cut_of).cast("int"))
-    asked = query_rows(rows, every).withColumn("query_key", F.xxhash64("vector"))
-    everywhere = F.explode(F.array(*[F.struct(F.lit(p).alias("pivot"), F.lit(s).alias("shard")) for p, s in shards]))
-    asked = asked.withColumn("to", everywhere).select("query_id", "query_key", "vector", "to.pivot", "to.shard")
+            dist = d[np.arange(len(d)), near]
+            ring = np.zeros(len(d), np.int32)
+            for p in np.unique(near):
+                ring[near == p] = np.searchsorted(borders[p], dist[near == p], "right")
+            more = [pa.array(near.astype(np.int32)), pa.array(ring), pa.array(dist)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "pivot", "ring", "dist"])
+
+    keyed = written(points.mapInArrow(key, "vector array<long>, members array<long>, pivot int, ring int, dist double"), "keyed")
+    # a row for each annulus, of which there are about count / shard_rows
+    rings = keyed.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).toPandas()
+    cuts = np.maximum(1, -(-rings["n"].to_numpy() // shard_rows))
+    pivot, ring = np.repeat(rings["pivot"].to_numpy(), cuts), np.repeat(rings["ring"].to_numpy(), cuts)
+    low, high = np.repeat(rings["low"].to_numpy(), cuts), np.repeat(rings["high"].to_numpy(), cuts)
+    cut = np.concatenate([np.arange(c) for c in cuts])
+    sizes = spark.createDataFrame(list(zip(rings["pivot"].tolist(), rings["ring"].tolist(), cuts.tolist())), "pivot int, ring int, cuts int")
+    shard = F.pmod(F.xxhash64("vector"), F.col("cuts")).cast("int")
+    index = keyed.join(sizes, ["pivot", "ring"]).withColumn("cut", shard).drop("cuts")
+    asked = written(in_blocks(query_rows(rows, every)), "asked")
+
+    def gaps(q: np.ndarray) -> np.ndarray:
+        """How far each shard's annulus is from each query, at least."""
+        to_pivot = distances(np.column_stack([q, np.zeros(len(q))]))[:, pivot]
+        return np.maximum(0, np.maximum(to_pivot - high, low - to_pivot))
+
+    def route(second: bool):
+        """The shard of the nearest annulus, or all others that the bound leaves, for each query."""
+
+        def run(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    b = whole.slice(at, 256)
+                    q = matrix(b.column("vector"))
+                    gap = gaps(q)
+                    home = gap.argmin(axis=1)
+                    if second:
+                        bar = b.column("bar").fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+                        bar[b.column("bar").is_null().to_numpy(zero_copy_only=False)] = -np.inf
+                        norm2 = (q**2).sum(axis=1)
+                        left = gap <= (_reach(bar, norm2, long2) + 1e-6 * (1 + np.sqrt(norm2 + long2)))[:, None]
+                        left[np.arange(len(q)), home] = False
+                        who, to = np.nonzero(left)
+                    else:
+                        who, to = np.arange(len(q)), home
+                    rest = b.select(["query_id", "query_key", "vector", "block", "bar"]).take(pa.array(who))
+                    place = [pa.array(v[to].astype(np.int32)) for v in (pivot, ring, cut)]
+                    yield pa.RecordBatch.from_arrays([*rest.columns, *place], names=[*rest.schema.names, "pivot", "ring", "cut"])
+
+        return run
+
+    schema = "query_id long, query_key long, vector array<long>, block int, bar long, pivot int, ring int, cut int"
 
     def search(here: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if here.num_rows and queries.num_rows:
             part = _Annuli(matrix(here.column("vector")), lists(here.column("members")), here.column("dist").to_numpy(), long2, block)
             q = matrix(queries.column("vector"))
-            pivot = here.column("pivot")[0].as_py()
             flat = np.column_stack([q, np.zeros(len(q))])
-            to_pivot = np.sqrt(((flat - centres[pivot]) ** 2).sum(axis=1))
+            to_pivot = np.sqrt(((flat - centres[here.column("pivot")[0].as_py()]) ** 2).sum(axis=1))
+            bar = np.array([-np.inf if b is None else b for b in queries.column("bar").to_pylist()], float)
             names, keys = queries.column("query_id").to_pylist(), queries.column("query_key").to_pylist()
-            for (scores, at), name, qk in zip(part.search(q, to_pivot, k), names, keys):
+            for (scores, at), name, qk in zip(part.search(q, to_pivot, k, bar), names, keys):
                 hits = [(-s, m) for s, i in zip(scores.tolist(), at.tolist()) for m in part.members[i] if m != name]
                 out += [(name, qk, m, -s) for s, m in sorted(hits)[:k]]
         columns = list(zip(*out)) if out else [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in _FOUND.split(", ")])
 
-    found = index.groupBy("pivot", "shard").cogroup(asked.groupBy("pivot", "shard")).applyInArrow(search, _FOUND)
+    def visit(sent: DataFrame) -> DataFrame:
+        # a shard goes to the blocks that have a query for it, and to no others
+        needed = sent.groupBy(*[F.col(c).alias(c) for c in _SHARD]).agg(F.lit(1)).select(*_SHARD)
+        parts = spread_parts(spark, len(pivot))
+        here = index.join(needed, _SHARD[:3]).repartition(parts, *_SHARD)
+        return here.groupBy(*_SHARD).cogroup(sent.repartition(parts, *_SHARD).groupBy(*_SHARD)).applyInArrow(search, _FOUND)
+
+    first = asked.withColumn("bar", F.lit(None).cast("long")).mapInArrow(route(second=False), schema)
+    first = written(visit(written(first, "sent")), "first")
+    ranked = best(first, k, [F.desc("score"), F.col("vec_id")])
+    bars = ranked.filter(F.col("rank") == k).select("query_id", "query_key", F.col("score").alias("bar"))
+    second = asked.join(bars, ["query_id", "query_key"], "left").mapInArrow(route(second=True), schema)
+    found = first.unionByName(visit(written(second, "sent")))
     return best(found, k, [F.desc("score"), F.col("vec_id")]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import partitions
+
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, vector) of rows that take part.
@@ -43,3 +46,25 @@ def best(found: DataFrame, k: int, order: list[Column]) -> DataFrame:
     """The first ``k`` of each query by ``order``, with their rank."""
     place = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(*order))
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+#: Queries that one task takes at a time.
+ASKED = 4096
+
+
+def in_blocks(queries: DataFrame, rows: int = ASKED) -> DataFrame:
+    """``queries`` (query_id, vector) with query_key, a hash of the vector, and a block of about ``rows`` each."""
+    blocks = max(1, -(-queries.count() // rows))
+    keyed = queries.withColumn("query_key", F.xxhash64("vector"))
+    return keyed.withColumn("block", F.pmod(F.xxhash64("query_id", "query_key"), F.lit(blocks)).cast("int"))
+
+
+def sampled(points: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` distinct vectors in hash order, as a matrix on the driver."""
+    few = points.orderBy(F.xxhash64("vector"), "vector").limit(most).select("vector").toArrow().column(0).combine_chunks()
+    return few.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(few), -1) if len(few) else np.zeros((0, 0))
+
+
+def spread_parts(spark: SparkSession, shards: int) -> int:
+    """Partitions for work that is heavy on little data, which shouldn't be coalesced by size."""
+    return max(1, min(shards, 4 * partitions(spark)))

@@ -57,9 +57,42 @@ def test_exact_products(spark, options):
         assert [(-r.score, r.vec_id) for r in got[q]] == want
 
 
-def test_neighbours_found(spark):
+def test_annuli_leave_out_what_the_bound_rules_out():
+    """On vectors in far-off clusters most products aren't computed, and none that counts is missed."""
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(12, 8))
+    middles *= 4000 / np.linalg.norm(middles, axis=1, keepdims=True)
+    x = np.floor(middles[np.arange(3000) % 12] + rng.normal(size=(3000, 8)) * 20)
+    long2 = float((x**2).sum(axis=1).max())
+    up = np.column_stack([x, np.sqrt(long2 - (x**2).sum(axis=1))])
+    pivot = pivots.choose_pivots(up, 1)[0]
+    part = pivots._Annuli(x, [[i] for i in range(len(x))], np.linalg.norm(up - pivot, axis=1), long2, 64)
+    q = x[:20]
+    bar = np.sort(x @ q.T, axis=0)[-6].astype(float)
+    found = part.search(q, np.linalg.norm(np.column_stack([q, np.zeros(20)]) - pivot, axis=1), 5, bar)
+    for (scores, _), v in zip(found, q):
+        assert scores.tolist() == np.sort(x @ v)[::-1][:6].astype(int).tolist()
+    assert part.computed < 0.7 * len(x) * len(q)
+
+
+def test_products_beyond_64_bits_are_an_error(spark):
+    rows = [(0, [1e30, 1.0], 0, 1), (1, [1e30, 2.0], 0, 1)]
+    with pytest.raises(Exception, match="fit into 64 bits"):
+        pivots.exact_top_k(_frame(spark, rows)).collect()
+
+
+def test_ties_go_to_smaller_ids(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [1.0, float(i == 0)], 0, 1) for i in range(400)]
+    want = {0: [1, 2, 3, 4, 5]}
+    for search in (pivots.exact_top_k, hnsw.nearest_neighbours):
+        got = _by_query(search(_frame(spark, rows), every=400).collect())
+        assert {q: [r.vec_id for r in v] for q, v in got.items()} == want
+
+
+@pytest.mark.parametrize("options", [{"shard_rows": 200}, {"shard_rows": 20}])
+def test_neighbours_found(spark, options):
     rows = _vectors()
-    got = _by_query(hnsw.nearest_neighbours(_frame(spark, rows), shard_rows=200).collect())
+    got = _by_query(hnsw.nearest_neighbours(_frame(spark, rows), **options).collect())
     x = _usable(rows, zero=False)
     hits = total = 0
     for q in [k for k in x if k % 50 == 0]:
