@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a navigable small-world graph for each shard.
 
-Distinct vectors are dealt into shards by hash.  Each shard's graph is built alone and
-stored as flat arrays: for each layer a matrix of neighbour numbers.  Every query visits
-every shard's graph and the shards' answers are merged.
+Distinct vectors are dealt into cells by their nearest centre, large cells are cut into
+shards by hash, and each shard's graph is built alone and stored as flat arrays: for each
+layer a matrix of neighbour numbers.  A query visits the shards of the cells whose centres
+are nearest to it, and their answers are merged.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bytehash import mix
 from tessella.llm.common import written
 from tessella.llm.pivots import lists, matrix
-from tessella.llm.vectors import best, distinct_vectors, query_rows, valid
+from tessella.llm.vectors import best, distinct_vectors, in_blocks, query_rows, sampled, spread_parts, valid
 
 
 class Graph:
@@ -121,37 +122,104 @@ class Graph:
         return self._search(q, at, width, 0)
 
 
-_INDEX = "shard int, n int, m int, entry int, layers array<binary>, vectors binary, members array<array<long>>"
+_INDEX = "cell int, cut int, n int, m int, entry int, centre array<double>, layers array<binary>, vectors binary, members array<array<long>>"
 _FOUND = "query_id long, query_key long, vec_id long, score double"
+_SHARD = ["cell", "cut", "block"]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def build_index(rows: DataFrame, k: int, shard_rows: int = 4096, m: int = 16, build_width: int = 64) -> DataFrame:
-    """One row for each shard: its distinct vectors, their ids, and the graph's flat arrays."""
+def cell_centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit vectors in the middle of the groups into which the sample falls."""
+    if not len(sample):
+        return sample
+    x = _unit(sample)
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
+    return centres
+
+
+def build_index(
+    rows: DataFrame, k: int, shard_rows: int = 4096, m: int = 16, build_width: int = 64, sample: int = 8192, most_cells: int = 1024
+) -> DataFrame:
+    """One row for each shard: its cell's centre, its distinct vectors, their ids, and the graph's flat arrays.
+
+    There is a cell for each ``shard_rows`` vectors, up to ``most_cells``; centres are
+    fitted on the first ``sample`` distinct vectors in hash order, and every vector is
+    indexed.  A cell of more than ``shard_rows`` vectors is cut by hash into several
+    shards, so no group of near vectors is too large for a task.
+    """
+    spark = rows.sparkSession
     points = written(distinct_vectors(rows, k + 1), "points")
-    shards = max(1, -(-points.count() // shard_rows))
-    placed = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    count = points.count()
+    centres = cell_centres(sampled(points, sample), max(1, min(most_cells, -(-count // shard_rows))))
+
+    def place(batches):
+        for b in batches:
+            x = matrix(b.column("vector"))
+            near = np.concatenate([(x[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=[*b.schema.names, "cell"])
+
+    placed = written(points.mapInArrow(place, "vector array<double>, members array<long>, cell int"), "placed")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("cuts")).collect()  # a row for each cell
+    known = spark.createDataFrame([tuple(r) for r in sizes], "cell int, cuts int")
+    cut = F.pmod(F.xxhash64("vector"), F.col("cuts")).cast("int")
 
     def build(part: pa.Table) -> pa.Table:
         part = part.sort_by([("first", "ascending")])  # the graph doesn't hang on the shuffle's order
         x = matrix(part.column("vector"))
         graph = Graph.build(_unit(x), m, build_width)
-        row = (part.column("shard")[0].as_py(), len(x), m, graph.entry, [t.astype("<i4").tobytes() for t in graph.neighbours], x.tobytes(), lists(part.column("members")))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.list_(pa.int64()))]
-        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=["shard", "n", "m", "entry", "layers", "vectors", "members"])
+        cell = part.column("cell")[0].as_py()
+        layers = [t.astype("<i4").tobytes() for t in graph.neighbours]
+        row = (cell, part.column("cut")[0].as_py(), len(x), m, graph.entry, centres[cell].tolist(), layers, x.tobytes(), lists(part.column("members")))
+        kinds = [pa.int32()] * 5 + [pa.list_(pa.float64()), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.list_(pa.int64()))]
+        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in _INDEX.split(", ")])
+
+    first = placed.join(F.broadcast(known), "cell").withColumn("cut", cut).withColumn("first", F.element_at("members", 1)).drop("cuts")
+    parts = spread_parts(spark, sum(r.cuts for r in sizes))
+    return written(first.repartition(parts, "cell", "cut").groupBy("cell", "cut").applyInArrow(build, _INDEX), "hnsw")
+
 
-    first = placed.withColumn("first", F.element_at("members", 1))
-    return written(first.groupBy("shard").applyInArrow(build, _INDEX), "hnsw")
+def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = 128, reach: float = 4.0) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest of the visited shards' answers.
+
+    A query visits the ``reach * sqrt(cells)`` cells whose centres are nearest (8 at
+    least), so what is sent grows with the square root of the index alone.  Queries come
+    in blocks, and a shard goes to the blocks that have a query for it.
+    """
+    heads = index.select("cell", "cut", "centre").orderBy("cell", "cut").collect()  # a row for each shard
+    cuts, middles = {}, {}
+    for r in heads:
+        cuts.setdefault(r.cell, []).append(r.cut)
+        middles[r.cell] = r.centre
+    cells = np.array(sorted(cuts), np.int32)
+    centres = np.array([middles[c] for c in cells.tolist()]).reshape(len(cells), -1) if heads else np.zeros((0, 0))
+    visits = min(len(cells), max(8, int(np.ceil(reach * np.sqrt(len(cells))))))
 
+    def route(batches):
+        for b in batches:
+            q = matrix(b.column("vector"))
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256] @ centres.T
+                near = np.argpartition(-part, visits - 1, axis=1)[:, :visits] if len(cells) else np.zeros((len(part), 0), int)
+                who, cell, cut = [], [], []
+                for i, row in enumerate(near):
+                    for c in cells[row].tolist():
+                        who += [at + i] * len(cuts[c])
+                        cell += [c] * len(cuts[c])
+                        cut += cuts[c]
+                rest = b.take(pa.array(who, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(cell, pa.int32()), pa.array(cut, pa.int32())], names=[*b.schema.names, "cell", "cut"])
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = 128) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest of all shards' answers."""
-    shards = [r.shard for r in index.select("shard").collect()]  # a number for each shard
-    asked = queries.withColumn("query_key", F.xxhash64("vector"))
-    asked = asked.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<int>")))
+    sent = in_blocks(queries).mapInArrow(route, "query_id long, vector array<double>, query_key long, block int, cell int, cut int")
+    sent = written(sent, "sent")
 
     def search(here: pa.Table, questions: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -171,7 +239,11 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = 128)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in _FOUND.split(", ")])
 
-    found = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(search, _FOUND)
+    needed = sent.groupBy(*[F.col(c).alias(c) for c in _SHARD]).agg(F.lit(1)).select(*_SHARD)
+    parts = spread_parts(index.sparkSession, len(heads))
+    here = index.drop("centre").join(needed, _SHARD[:2]).repartition(parts, *_SHARD)
+    asked = sent.repartition(parts, *_SHARD)
+    found = here.groupBy(*_SHARD).cogroup(asked.groupBy(*_SHARD)).applyInArrow(search, _FOUND)
     return best(found, k, [F.desc("score"), F.col("vec_id")]).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -182,7 +254,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, width: i
     with another id; ties go to the smaller id.  Zero vectors and the rows that
     ``vectors.valid`` leaves out take no part; repeats of a row count once, and an id that
     has several vectors is a query and a candidate with each.  ``score`` is the cosine in
-    double precision of the original vectors.
+    double precision of the original vectors.  ``options`` are those of ``build_index``.
     """
     rows = valid(vectors).withColumn("vector", F.transform("vector", lambda x: x.cast("double") + F.lit(0.0)))
     rows = rows.filter(F.exists("vector", lambda x: x != 0))
