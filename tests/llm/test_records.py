@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -45,7 +46,7 @@ def _expected(rows, least):
 def test_archives_read_back(spark, least):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, payload_digest int")
     path = common.fresh_path(spark, "warc")
-    warc.write_archives(warc.resolve(pages, least), path, records_per_file=2)
+    warc.write_archives(warc.resolve(pages, least), path, file_bytes=700)
     got = warc.read_archives(spark, path, payloads=True).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == _expected(PAGES, least)
     for r in got:
@@ -54,11 +55,45 @@ def test_archives_read_back(spark, least):
 
 
 def test_archive_is_plain_warc(spark, tmp_path):
-    pages = spark.createDataFrame(PAGES[:2], "page_id long, url string, html string, x int")
-    warc.write_archives(warc.resolve(pages), f"file://{tmp_path}/out")
-    text = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "out").glob("*.gz")))
-    assert text.count(b"WARC/1.1\r\n") == 2 and text.count(b"WARC-Type: revisit\r\n") == 1
-    assert b"WARC-Refers-To-Target-URI: http://a.com/y\r\n" in text and text.endswith(b"\r\n\r\n")
+    """Every gzip member is one record, an archive begins with warcinfo, and ids are unique."""
+    pages = spark.createDataFrame([PAGES[0], PAGES[1], *PAGES[4:]], "page_id long, url string, html string, x int")
+    warc.write_archives(warc.resolve(pages), f"file://{tmp_path}/out", date="2024-05-06T07:08:09Z")
+    ids, types = [], Counter()
+    for file in (tmp_path / "out").glob("part-*"):
+        data = file.read_bytes()
+        records = []
+        while data:
+            one = zlib.decompressobj(31)
+            records.append(one.decompress(data))
+            data = one.unused_data
+        assert b"WARC-Type: warcinfo\r\n" in records[0]
+        for r in records:
+            assert r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") and b"WARC-Date: 2024-05-06T07:08:09Z\r\n" in r
+            head, block = r.split(b"\r\n\r\n", 1)
+            assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(block) - 4
+            ids.append(re.search(rb"WARC-Record-ID: (\S+)", head)[1])
+            types[re.search(rb"WARC-Type: (\S+)", head)[1]] += 1
+            if b"WARC-Type: revisit" in head and b"a.com/x" in head:
+                assert b"WARC-Refers-To-Target-URI: http://a.com/y\r\n" in head
+                assert b"WARC-Refers-To: <urn:uuid:" + warc.record_id(1, base64.b32encode(hashlib.sha1(b"<p>one</p>").digest())).encode() in head
+    assert len(set(ids)) == len(ids) and types[b"revisit"] == 3 and types[b"response"] == 5
+
+
+def test_very_long_record_spans_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER", 1000)
+    rows = [(1, None, "é" * 5000, 0), (2, None, "", 0)]
+    record = warc._record({"page_id": 1, "url": None, "payload": rows[0][2].encode(), "payload_bytes": 10000, "payload_digest": b"A", "record_type": b"response"}, "d", b"")
+    members = warc._members(record)
+    assert len(members) > 1 and all(m[-1] == 0 for m in members) and gzip.decompress(b"".join(members)) == record
+
+
+def test_hot_digest_moves_no_payloads(spark):
+    """Of 3,000 equal payloads one stays; revisits carry none, and few rows beyond them are doubted."""
+    pages = spark.range(6000).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("html")
+    )
+    got = warc.resolve(pages).groupBy("record_type").agg(F.count("*").alias("n"), F.count("payload").alias("payloads"), F.min("refers_to").alias("to")).collect()
+    assert sorted(map(tuple, got)) == [("response", 3001, 3001, None), ("revisit", 2999, 0, 0)]
 
 
 def test_no_pages(spark):
