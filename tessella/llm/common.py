@@ -83,6 +83,14 @@ def running(values: Column, merge: Callable[[Column, Column], Column], none: int
     return F.transform(F.array(F.transform(values, lambda v: v.cast("bigint"))), build)[0]
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """``name`` behind as many underscores as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def in_order(df: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """Deal rows out by ascending ``key`` (nulls first, ties by text hash) and sort them."""
     tie = F.xxhash64(F.col(text))

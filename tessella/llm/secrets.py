@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_path, running
+from tessella.llm.common import fresh_path, running, unused
 
 
 @dataclass(frozen=True)
@@ -143,21 +143,13 @@ def redact(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", rules: tu
     All rows and columns are kept; a null text stays null.  Work is linear in text and
     spans.
     """
-    key, spans_ = _unused("blob_id", docs), _unused("found", docs)
+    key, spans_ = unused("blob_id", docs), unused("found", docs)
     heads = blob_findings(ledger, rules).select(F.col("blob_id").alias(key), F.col("found").alias(spans_))
     joined = docs.withColumn(key, blob_id(F.col("text").cast("string"))).join(heads, key, "left")
     clean = F.when(F.col(spans_).isNotNull(), masked(F.col("text"), F.col(spans_), mark)).otherwise(F.col("text"))
     return joined.withColumn("text", clean).select(*docs.columns)
 
 
-def _unused(name: str, docs: DataFrame) -> str:
-    """``name`` behind as many underscores as no column of ``docs`` has."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = "_" + name
-    return name
-
-
 def masked(text: Column, found: Column, mark: str, stretch: int = 4096) -> Column:
     """``text`` with ``mark`` for each of the sorted, non-empty spans; what overlaps is one.
 

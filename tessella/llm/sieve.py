@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bytehash import mix
+from tessella.llm.common import written
 
 #: Bits of a filter at most (8 MB), bits for each key below that, and bits set by a key.
 MOST_BITS, BITS_A_KEY, PROBES = 1 << 26, 12, 4
@@ -65,3 +66,20 @@ class Sieve:
                 yield b.filter(pa.array(mask if maybe else ~mask))
 
         return rows.mapInArrow(run, rows.schema)
+
+
+def without(rows: DataFrame, name: str, same: Column, heads: DataFrame, head: str, same_head: Column, gone: DataFrame, gone_name: str) -> DataFrame:
+    """``rows`` that aren't in ``gone``, an anti-join that moves few rows however wide they are.
+
+    ``heads`` has the key of every row of ``rows`` that ``gone`` might have, without what
+    makes rows wide; ``name``, ``head`` and ``gone_name`` are the columns with the key's hash (a long)
+    of each table, and ``same`` and ``same_head`` compare the keys themselves with those of
+    ``gone``.  A filter of ``gone`` tells most rows that stay; a filter of the heads that
+    pass it wrongly tells most of those that go; only what passes both is joined.
+    """
+    sieve = Sieve.build(gone, gone_name, gone.count())
+    wrong = sieve.split(heads, head, maybe=True).join(gone, same_head, "left_anti").select(F.col(head).alias("wrong"))
+    wrong = written(wrong.distinct(), "wrong")
+    second = Sieve.build(wrong, "wrong", wrong.count())
+    doubtful = second.split(sieve.split(rows, name, maybe=True), name, maybe=True).join(gone, same, "left_anti")
+    return sieve.split(rows, name, maybe=False).unionByName(doubtful)

@@ -72,6 +72,21 @@ def test_components_equal_all_pairs(spark, percent, words):
     assert sorted(map(tuple, got), key=str) == brute(rows, percent, words)
 
 
+@pytest.mark.parametrize("block", [3, 40])
+def test_large_blocks_lose_no_link(spark, monkeypatch, block):
+    """Blocks of near copies, of which some are linked to the lead and some only to others."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    rows = corpus()
+    base = [f"k{i}" for i in range(120)]
+    for step in range(60):
+        base[rng.randrange(120)] = f"s{step}"
+        rows.append((10**7 + step, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.near_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_keep_one_leaves_a_document_of_each_component(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
@@ -156,6 +171,23 @@ def test_tree_bound_loses_no_pair():
     assert len(found) < len(sets) ** 2 / 4
 
 
+def test_tree_levels_spare_most_pairs():
+    """Groups of unlike sets: whole nodes are ruled out, and a linked part costs nothing."""
+    rng = np.random.default_rng(9)
+    bases = [rng.integers(0, 2**60, n).astype(np.uint64) for n in np.geomspace(40, 20_000, 40).astype(int)]
+    sets = [np.unique(b[rng.random(len(b)) > 0.03]) for b in bases for _ in range(30)]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    points = jaccard.group_counts(np.concatenate(sets), at)
+    tree = jaccard.CountTree(points, np.diff(at), 85)
+    i, j = tree.pairs()
+    assert len(tree.levels) > 1 and tree.tested < 0.2 * len(sets) * (len(sets) - 1) / 2 and len(i) <= tree.tested
+    part = np.repeat(np.arange(40), 30)
+    assert len(tree.pairs(part)[0]) == sum(part[a] != part[b] for a, b in zip(i, j))
+    hot = jaccard.CountTree(points[-30:].repeat(40, axis=0), np.diff(at)[-30:].repeat(40), 85)
+    hot.pairs(np.zeros(1200, int))
+    assert hot.tested == 0
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(5, 5), (9, 8), (8, 9), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long")).collect()))
