@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import written
-from tessella.llm.sieve import Sieve
+from tessella.llm.sieve import without
 
 #: Fixed values of the format: RFC 4648 digits, and the profile of a revisit record.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -92,23 +92,16 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         ),
         "revisits",
     )
-    known = revisits.select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p")).distinct()
+    known = revisits.select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p"), F.col("name").alias("n")).distinct()
     is_revisit = (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p"))
-    sieve = Sieve.build(revisits.select("name").distinct(), "name", revisits.count())
-    # responses that the filter takes for revisits
-    taken = sieve.split(heads.select("payload_digest", "page_id", "name"), "name", maybe=True).join(known, is_revisit, "left_anti")
-    taken = written(taken.select("name").distinct(), "taken")
-    second = Sieve.build(taken, "name", taken.count())
-    named = rows.select("*", name)
-    doubtful = second.split(sieve.split(named, "name", maybe=True), "name", maybe=True)
-    doubtful = _described(doubtful).join(known, is_revisit, "left_anti")
+    named = _described(rows.select("*", name))
+    responses = without(named, "name", is_revisit, heads.select("payload_digest", "page_id", "name"), "name", is_revisit, known, "n")
     order = [c.split()[0] for c in _RECORD.split(", ")]
-    sure = _described(sieve.split(named, "name", maybe=False))
-    return sure.select(*order).unionByName(doubtful.select(*order)).unionByName(revisits.select(*order))
+    return responses.select(*order).unionByName(revisits.select(*order))
 
 
 def _described(rows: DataFrame) -> DataFrame:
-    """Rows (page_id, url, payload) as responses."""
+    """Rows (page_id, url, payload, name) as responses."""
     return rows.select(
         "page_id",
         "url",
@@ -118,6 +111,7 @@ def _described(rows: DataFrame) -> DataFrame:
         F.lit("response").alias("record_type"),
         F.lit(None).cast("long").alias("refers_to"),
         F.lit(None).cast("string").alias("refers_to_url"),
+        "name",
     )
 
 
