@@ -81,11 +81,11 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, tolerance: float = 1e
     exact = lambda x: F.sum(x.cast("decimal(38,6)")).cast("double")
     mean = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     low = F.least(F.log(F.col("target") / F.col("source_size")), F.lit(0.0)) * F.col("mean") - 1e-9
-    state = (
+    state = written(
         goals.filter(~F.col("full") & (F.col("target") > 0))
         .join(mean, goals["source"].eqNullSafe(mean["source"]))
-        .select(goals["source"], "source_size", "target", "mean", F.lit(0.0).alias("lam"), low.alias("low"), (F.col("mean") * math.log(most)).alias("high"))
-        .checkpoint()
+        .select(goals["source"], "source_size", "target", "mean", F.lit(0.0).alias("lam"), low.alias("low"), (F.col("mean") * math.log(most)).alias("high")),
+        "state",
     )
     for _ in range(steps):
         z = F.col("size") / F.col("mean")
@@ -103,10 +103,9 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, tolerance: float = 1e
         inside = (newton > low) & (newton < high)
         near = F.abs(F.col("words") - F.col("target")) <= tolerance * F.col("target")
         lam = F.when(near, F.col("lam")).when(inside, newton).otherwise((low + high) / 2)
-        state = sums.select(
-            F.col("s").alias("source"), "source_size", "target", "mean", lam.alias("lam"), low.alias("low"), high.alias("high"), near.alias("near")
-        ).checkpoint()
-        if state.agg(F.bool_and("near")).first()[0] is not False:
+        columns = [F.col("s").alias("source"), "source_size", "target", "mean", lam.alias("lam"), low.alias("low"), high.alias("high"), near.alias("near")]
+        state = written(sums.select(*columns), "state")
+        if state.filter(~F.col("near")).isEmpty():
             break
         state = state.drop("near")
     return state.select("source", "mean", "lam")
