@@ -59,31 +59,33 @@ def test_content_types():
             documents.source_kind(bad)
 
 
+#: Made up for these tests: a sleep laboratory's report on nobody.
 MESSAGE = (
-    "MSH|^~\\&|Dev|Hosp|IRIS||202304052045||ORU^R01|abc|P|2.5.1\r"
-    "PID|58705||1^^^^MR||Fam^Giv||20220101|F|||Oak^^Haifa||||||||\r\n"
-    "OBX|1|NM|8480-6^Systolic^LN||125|mm||^||N|F\nOBX|2|NM|^^||95||||||||||||||202304052150|extra"
+    "MSH|^~\\&|PolySuite^77|SleepLab|Archive||201911302359||ORU^R01|sleep-0007|T|2.5.1\r"
+    "PID|4||N-880^^^^PI||Quill^Ada^M||19710228|X|||7 Harbour Row^^Port Vell^^08003||||||||\r"
+    "OBX|1|NM|93832-4^Sleep duration^LN||412|min||^||N|P\nOBX|2|NM|^^||17||||||||||||||201912010630|late note"
 )
 
 
 def test_hl7_rules(spark):
     got = json.loads(one(spark, hl7v2.to_json(F.col("x"), ["MSH", "PID", "PV1", "OBX"]), MESSAGE))
-    assert got["MSH"]["DateTimeOfMessage"] == {"Time": "2023-04-05T20:45"} and got["MSH"]["EncodingCharacters"] == "^~\\&"
+    assert got["MSH"]["DateTimeOfMessage"] == {"Time": "2019-11-30T23:59"} and got["MSH"]["EncodingCharacters"] == "^~\\&"
+    assert got["MSH"]["SendingApplication"] == {"NamespaceID": "PolySuite", "UniversalID": "77"} and got["MSH"]["MessageControlID"] == "sleep-0007"
     assert got["PID"] == {
-        "SegmentDescription": "Patient Identification", "MessageLine": 2, "SetID": "58705",
-        "PatientIdentifierList": {"IDNumber": "1", "IdentifierTypeCode": "MR"},
-        "PatientName": {"FamilyName": {"Surname": "Fam"}, "GivenName": "Giv"}, "DateTimeOfBirth": {"Time": "2022-01-01"}, "AdministrativeSex": "F",
-        "PatientAddress": {"StreetAddress": {"StreetOrMailingAddress": "Oak"}, "City": "Haifa"},
+        "SegmentDescription": "Patient Identification", "MessageLine": 2, "SetID": "4",
+        "PatientIdentifierList": {"IDNumber": "N-880", "IdentifierTypeCode": "PI"},
+        "PatientName": {"FamilyName": {"Surname": "Quill"}, "GivenName": "Ada"}, "DateTimeOfBirth": {"Time": "1971-02-28"}, "AdministrativeSex": "X",
+        "PatientAddress": {"StreetAddress": {"StreetOrMailingAddress": "7 Harbour Row"}, "City": "Port Vell", "ZipOrPostalCode": "08003"},
     }
     assert "PV1" not in got and [o["MessageLine"] for o in got["OBX"]] == [3, 4]
-    assert "ObservationIdentifier" not in got["OBX"][1] and got["OBX"][1]["OBX20"] == "extra" and got["OBX"][0]["ObservationValue"] == "125"
+    assert "ObservationIdentifier" not in got["OBX"][1] and got["OBX"][1]["OBX20"] == "late note" and got["OBX"][0]["ObservationValue"] == "412"
 
 
 def test_hl7_older_version_keeps_digits(spark):
-    text = "MSH|^~\\&|1^Autolab^3.02||||20240726083203||ORU^R01|1|P|2.3||0^^||||||5||\nNTE||O| Clinical|0"
+    text = "MSH|^~\\&|Balance^B9||||19980704||ORU^R01|w-3|P|2.3||x^y||||||zz||\nNTE|2|L|weighed twice|end"
     got = json.loads(one(spark, hl7v2.to_json(F.col("x"), ["MSH", "NTE"], "2.3"), text))
-    assert got["MSH"]["DateTimeOfMessage"] == {"TimeOfAnEvent": "20240726083203"} and got["MSH"]["ContinuationPointer"] == "0^^" and got["MSH"]["MSH20"] == "5"
-    assert got["NTE"] == {"SegmentDescription": "Notes and comments segment", "MessageLine": 2, "SourceOfComment": "O", "Comment": " Clinical", "NTE4": "0"}
+    assert got["MSH"]["DateTimeOfMessage"] == {"TimeOfAnEvent": "19980704"} and got["MSH"]["ContinuationPointer"] == "x^y" and got["MSH"]["MSH20"] == "zz"
+    assert got["NTE"] == {"SegmentDescription": "Notes and comments segment", "MessageLine": 2, "SetID": "2", "SourceOfComment": "L", "Comment": "weighed twice", "NTE4": "end"}
 
 
 def test_xml_values(spark):
