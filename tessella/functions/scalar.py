@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DecimalType, FractionalType, StructType
 
 
 def text(value: Column) -> Column:
-    """A value as text; whole doubles lose their ``.0``, as in JSON numbers."""
-    return F.regexp_replace(value.cast("string"), "\\.0$", "")
+    """A value as text, numbers as JSON writes them: no ``.0``, an exponent from 1e21 on only.
+
+    Texts stay as they are.  The type is settled when the query is planned.
+    """
+    kind, number = F.typeof(value), value.cast("string").try_cast("double")
+    size = F.abs(number)
+    plain = F.when(size >= 1e15, number.try_cast("decimal(38,0)").cast("string")).otherwise(number.try_cast("decimal(38,22)").cast("string"))
+    power = F.regexp_replace(F.regexp_replace(number.cast("string"), "\\.0E", "E"), "E(-?)", "e$1")
+    power = F.when(size >= 1, F.regexp_replace(power, "e", "e+")).otherwise(power)
+    written = F.when(number == 0, "0").when((size < 1e21) & (size >= 1e-6), _trimmed_zeros(plain)).otherwise(power)
+    return F.when(kind.isin("double", "float"), written).when(kind.startswith("decimal"), _trimmed_zeros(value.cast("string"))).otherwise(value.cast("string"))
+
+
+def _trimmed_zeros(digits: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(digits, "(\\.\\d*?)0+$", "$1"), "\\.$", "")
 
 
 def join_present(*values: Column | str) -> Column:
@@ -35,6 +49,21 @@ def present(value: Column) -> Column:
     return value.isNotNull()
 
 
+def truthy(value: Column, kind: str = "string") -> Column:
+    """Whether a value counts as true: not missing, false, zero, empty, or an array without a true value.
+
+    ``kind`` is the value's type: string, boolean, number, array (of strings) or struct.
+    """
+    tests = {
+        "string": lambda v: v != "",
+        "boolean": lambda v: v,
+        "number": lambda v: v != 0,
+        "array": lambda v: F.exists(v, lambda x: F.coalesce(x != "", F.lit(False))),
+        "struct": lambda v: v.isNotNull(),
+    }
+    return F.coalesce(tests[kind](value), F.lit(False))
+
+
 def choose(condition: Column, then: Column, otherwise: Column | None = None) -> Column:
     """A conditional; without an else, a false or missing condition gives nothing."""
     branch = F.when(F.coalesce(condition, F.lit(False)), then)
@@ -54,9 +83,40 @@ def seeded_uuid(seed: Column) -> Column:
     return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
-def content_link(resource: Column) -> Column:
-    """``urn:uuid:`` of a resource's compact JSON, keys in field order, nulls left out."""
-    return F.concat(F.lit("urn:uuid:"), seeded_uuid(F.to_json(resource)))
+#: Marks a number's text until its quotes are taken off; no JSON text holds it unescaped.
+_MARK = "\x01"
+
+
+def json_text(value: Column, schema: DataType | None = None) -> Column:
+    """Compact JSON, keys in field order, nulls left out.
+
+    With the value's ``schema``, its numbers are written as ``text`` writes them; without,
+    Spark's form of doubles is kept (``120.0``, ``1.2E7``).
+    """
+    if schema is None:
+        return F.to_json(value)
+    marked = _marked(value, schema)
+    if marked is value:
+        return F.to_json(value)
+    return F.regexp_replace(F.to_json(marked), '"\\\\u0001([^"]*)\\\\u0001"', "$1")
+
+
+def _marked(value: Column, schema: DataType) -> Column:
+    """``value`` with the text of each fractional number, between marks, in its place."""
+    if isinstance(schema, (FractionalType, DecimalType)):
+        return F.when(value.isNotNull(), F.concat(F.lit(_MARK), text(value), F.lit(_MARK)))
+    if isinstance(schema, StructType):
+        inner = {f.name: _marked(value[f.name], f.dataType) for f in schema.fields}
+        whole = F.struct(*[c.alias(n) for n, c in inner.items()])
+        return F.when(value.isNotNull(), whole)
+    if isinstance(schema, ArrayType):
+        return F.transform(value, lambda v: _marked(v, schema.elementType))
+    return value
+
+
+def content_link(resource: Column, schema: DataType | None = None) -> Column:
+    """``urn:uuid:`` of a resource's ``json_text``."""
+    return F.concat(F.lit("urn:uuid:"), seeded_uuid(json_text(resource, schema)))
 
 
 def random_uuid() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,11 @@ def indexed(values: Column, body: Callable[[Column, Column], Column]) -> Column:
 
 
 def walk(values: Column, *path: str) -> Column:
-    """A field path over an array of structs; arrays on the way are flattened by ``each``."""
+    """A field path over an array of structs; ``name*`` is a field that repeats, whose arrays are flattened."""
     for name in path:
-        values = F.transform(values, _member(name))
+        values = F.transform(F.filter(values, lambda v: v.isNotNull()), _member(name.removesuffix("*")))
+        if name.endswith("*"):
+            values = F.flatten(F.filter(values, lambda v: v.isNotNull()))
     return F.filter(values, lambda v: v.isNotNull())
 
 
@@ -34,25 +36,47 @@ def _member(name: str) -> Callable[[Column], Column]:
     return lambda v: v[name]
 
 
+def _runs(values: Column, key: Callable[[Column, Column], Column], build: Callable[[Column, Column, Column], Column]) -> Column:
+    """``build(values, sorted, at)`` with places sorted by key, and where each key begins among them.
+
+    Sorting brings equal keys together, so no key is looked for among all others.  Arrays
+    of one bind a value once.
+    """
+    places = F.transform(values, lambda v, i: F.struct(key(v, i).alias("key"), i.alias("i")))
+    places = F.array_sort(F.filter(places, lambda p: p["key"].isNotNull()))
+
+    def begin(p: Column) -> Column:
+        first = F.transform(p, lambda x, i: F.when((i == 0) | (x["key"] != F.get(p, i - 1)["key"]), i))
+        return F.transform(F.array(F.filter(first, lambda i: i.isNotNull())), lambda at: build(values, p, at))[0]
+
+    return F.when(values.isNotNull(), F.transform(F.array(places), begin)[0])
+
+
 def keyed(values: Column, key: Callable[[Column, Column], Column]) -> Column:
-    """A map of each value by a key; a repeated key keeps its last value (``grouped`` keeps all)."""
-    pairs = F.transform(values, lambda v, i: F.struct(key(v, i).alias("key"), v.alias("value")))
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]),
-    )
-    return F.map_from_entries(last)
+    """A map of each value by a key; a repeated key keeps its last value (``grouped`` keeps all), none drops out."""
+
+    def build(values: Column, p: Column, at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(p)) - 1
+        return F.map_from_entries(
+            F.transform(at, lambda a, k: F.struct(F.get(p, a)["key"].alias("key"), F.get(values, F.get(p, end(k))["i"]).alias("value")))
+        )
+
+    return _runs(values, key, build)
 
 
 def grouped(values: Column, key: Callable[[Column, Column], Column]) -> Column:
     """A map of all values by a key, in their order; values without a key drop out."""
-    pairs = F.filter(F.transform(values, lambda v, i: F.struct(key(v, i).alias("key"), v.alias("value"))), lambda p: p["key"].isNotNull())
 
-    def collected(pairs: Column) -> Column:
-        names = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-        return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]).alias("value"))))
+    def build(values: Column, p: Column, at: Column) -> Column:
+        many = lambda a, k: F.slice(p, a + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - a)
+        return F.map_from_entries(
+            F.transform(
+                at,
+                lambda a, k: F.struct(F.get(p, a)["key"].alias("key"), F.transform(many(a, k), lambda x: F.get(values, x["i"])).alias("value")),
+            )
+        )
 
-    return F.get(F.transform(F.array(pairs), collected), F.lit(0))  # an array of one binds the pairs once
+    return _runs(values, key, build)
 
 
 def last(values: Column) -> Column:
@@ -69,3 +93,13 @@ def appended(*parts: Column) -> Column:
 def listed(value: Column) -> Column:
     """A present value as an array of one."""
     return F.when(value.isNotNull(), F.array(value))
+
+
+def counted_by(rows: DataFrame, key: str, output: str) -> DataFrame:
+    """``rows`` with the number of rows that share a row's key; a missing key is a key.
+
+    Counts are aggregated before they are joined, so a key that many rows share is not
+    gathered in one task.
+    """
+    counts = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias(output))
+    return rows.join(counts, rows[key].eqNullSafe(counts["__key"])).drop("__key")

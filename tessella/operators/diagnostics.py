@@ -80,14 +80,26 @@ def primary_code(rep: Column) -> Column:
     return F.coalesce(primary(rep)["code"], F.when(~rep["ok"], F.lit("EVALUATION_FAILED")))
 
 
-def normalized(rep: Column) -> Column:
-    """Defaults for a report's missing parts: status 500 and empty lists."""
+def normalized(rep: Column, execution_id: Column | None = None) -> Column:
+    """Defaults for a report's missing parts: status 500, empty lists, a random execution id."""
     none = F.array().cast(f"array<{DIAGNOSTIC}>")
     d = rep["diagnostics"]
     parts = F.struct(*[F.coalesce(d[k], none).alias(k) for k in ("error", "warning", "debug")])
+    given = F.nullif(F.lit(None).cast("string") if execution_id is None else execution_id, F.lit(""))
     return F.struct(
-        F.coalesce(rep["ok"], F.lit(False)).alias("ok"), F.coalesce(rep["status"], F.lit(500)).alias("status"), rep["result"].alias("result"), parts.alias("diagnostics")
-    )
+        F.coalesce(rep["ok"], F.lit(False)).alias("ok"), F.coalesce(rep["status"], F.lit(500)).alias("status"), rep["result"].alias("result"), parts.alias("diagnostics"),
+        F.coalesce(given, F.expr("uuid()")).alias("executionId"),
+    )
+
+
+def legacy_error(rep: Column) -> Column:
+    """The older error shape of a report's primary diagnostic, eleven keys; null for a report that is ok."""
+    first = primary(rep)
+    code = F.coalesce(first["code"], F.lit("EVALUATION_FAILED"))
+    text = {"__isFumeError": F.lit(True), "__isFlashError": is_mapping_error(code), "message": F.coalesce(first["message"], F.lit("Evaluation failed")), "code": code}
+    rest = {"name": F.lit("EvaluationError"), "value": F.lit(""), "token": F.lit(""), "cause": F.lit("")}
+    place = {k: F.coalesce(first[k].cast("string"), F.lit("")) for k in ("line", "start", "position")}
+    return F.when(~F.coalesce(rep["ok"], F.lit(False)), F.struct(*[v.alias(k) for k, v in (text | rest | place).items()]))
 
 
 def synthetic(code: str, message: str, status: int) -> Column:

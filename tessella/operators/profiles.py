@@ -11,6 +11,7 @@ from os.path import commonprefix
 from tessella.operators.resource import Element, Profile
 
 
+#: Elements stand in the order of the standard's definitions (fixed values).
 def _elements(*names: str) -> tuple[Element, ...]:
     """``name*`` repeats, ``name!`` is required, ``a|b`` are the types of one choice."""
     out = []
@@ -43,13 +44,31 @@ OBSERVATION = Profile(
         "valueQuantity|valueCodeableConcept|valueString|valueBoolean", "component*",
     ),
 )
-#: The vital-signs blood pressure profile: canonical url and the LOINC codes it fixes.
+
+
+def _pressure(code: str) -> dict:
+    quantity = {"value": None, "unit": "millimeter of mercury", "system": "http://unitsofmeasure.org", "code": "mm[Hg]"}
+    return {"code": {"coding": [{"system": "http://loinc.org", "code": code}]}, "valueQuantity": quantity}
+
+
+#: The vital-signs blood pressure profile: its canonical url and what it fixes (fixed values).
 BLOOD_PRESSURE = Profile(
     "Observation",
     url="http://hl7.org/fhir/StructureDefinition/bp",
     elements=OBSERVATION.elements,
-    slices={
-        "component[SystolicBP]": {"system": "http://loinc.org", "code": "8480-6", "unit": "mm[Hg]"},
-        "component[DiastolicBP]": {"system": "http://loinc.org", "code": "8462-4", "unit": "mm[Hg]"},
+    fixed={
+        "category": [
+            {"coding": [{"system": "http://terminology.hl7.org/CodeSystem/observation-category", "code": "vital-signs", "display": "Vital Signs"}]}
+        ],
+        "code": {"coding": [{"system": "http://loinc.org", "code": "85354-9"}]},
     },
+    slices={"component[SystolicBP]": _pressure("8480-6"), "component[DiastolicBP]": _pressure("8462-4")},
+    shorthand={f"component[{name}].value": "valueQuantity.value" for name in ("SystolicBP", "DiastolicBP")},
 )
+
+#: Definitions by type, id and canonical url.
+PROFILES = {
+    key: p
+    for p in (PATIENT, PRACTITIONER, ORGANIZATION, OBSERVATION, HUMAN_NAME, BLOOD_PRESSURE)
+    for key in ((p.name, p.url) if p.url else (p.type,))
+}

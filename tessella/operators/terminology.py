@@ -21,10 +21,10 @@ def concept_map_rows(maps: DataFrame) -> DataFrame:
 def translate(rows: DataFrame, code: str, concept_map: DataFrame, output: str) -> DataFrame:
     """``rows`` with the target of ``code``; an unmapped code gives null.
 
-    ``concept_map`` has (code, target_code).  It is a plain left join: Spark broadcasts it
-    if its size allows and shuffles otherwise.
+    ``concept_map`` has (code, target_code); of several targets the smallest is taken.  It
+    is a plain left join: Spark broadcasts it if its size allows and shuffles otherwise.
     """
-    m = concept_map.select(F.col("code").alias("__code"), F.col("target_code").alias(output)).dropDuplicates(["__code"])
+    m = concept_map.groupBy(F.col("code").alias("__code")).agg(F.min("target_code").alias(output))
     return rows.join(m, rows[code] == m["__code"], "left").drop("__code")
 
 
@@ -40,6 +40,21 @@ def in_value_set(code: Column, codes: list[str]) -> Column:
     return F.when(code.isNotNull(), code.isin(codes))
 
 
+def with_membership(rows: DataFrame, system: str | None, code: str, value_set: DataFrame, output: str) -> DataFrame:
+    """``rows`` with ``output``: whether the code is in a value set (system, code) of any size; null for a missing code.
+
+    A plain left join with the set's distinct members, which Spark plans by their size;
+    without ``system`` the code alone decides.
+    """
+    names = (["system"] if system else []) + ["code"]
+    members = value_set.select(*[F.col(n).alias(f"__{n}") for n in names]).dropna().distinct().withColumn("__in", F.lit(True))
+    on = rows[code] == members["__code"]
+    if system:
+        on = on & (rows[system] == members["__system"])
+    joined = rows.join(members, on, "left")
+    return joined.withColumn(output, F.when(F.col(code).isNotNull(), F.coalesce("__in", F.lit(False)))).drop("__in", *[f"__{n}" for n in names])
+
+
 def any_coding_in(codings: Column, allowed: list[tuple[str, str]]) -> Column:
     """Whether at least one coding of a concept is allowed."""
     pairs = [F.struct(F.lit(s).alias("system"), F.lit(c).alias("code")) for s, c in allowed]
@@ -47,9 +62,11 @@ def any_coding_in(codings: Column, allowed: list[tuple[str, str]]) -> Column:
 
 
 def with_display(rows: DataFrame, system: str, code: str, display: str, code_system: DataFrame) -> DataFrame:
-    """``display`` filled from (system, code, display) where it is missing and the code is known."""
-    known = code_system.select(F.col("system").alias("__s"), F.col("code").alias("__c"), F.col("display").alias("__d"))
-    known = known.dropDuplicates(["__s", "__c"])
+    """``display`` filled from (system, code, display) where it is missing and the code is known.
+
+    Of several displays the smallest is taken.  A quantity's unit is filled the same way.
+    """
+    known = code_system.groupBy(F.col("system").alias("__s"), F.col("code").alias("__c")).agg(F.min("display").alias("__d"))
     joined = rows.join(known, (rows[system] == known["__s"]) & (rows[code] == known["__c"]), "left")
     return joined.withColumn(display, F.coalesce(F.col(display), F.col("__d"))).drop("__s", "__c", "__d")
 

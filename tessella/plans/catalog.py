@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalar as sc
 from tessella.functions import sequence as sq
 from tessella.operators import diagnostics as diag
 from tessella.operators import invocation, profiles, terminology, validation
-from tessella.operators.resource import Resource, bundle, entry, updated
+from tessella.operators.resource import Extension, Resource, bundle, entry, updated
 from tessella.sources import documents, hl7v2
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,27 +104,37 @@ def content_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", sc.content_link(r.column()).alias("full_url"))
 
 
-@query("select cast(n_nationkey as varchar) as nationkey, n_name as name, case when n_regionkey > 0 then cast(n_regionkey as varchar) end as regionkey from nation")
+@query(
+    """select case when n_nationkey % 3 = 0 then '' else cast(n_nationkey as varchar) end as nationkey,
+    concat(n_name, ', "', n_regionkey, '"', chr(10), '!') as name, case when n_regionkey > 0 then cast(n_regionkey as varchar) end as regionkey from nation"""
+)
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty first cells, quotes, commas and line ends inside them, and rows that are short."""
     n = _t(spark, sf_dir, "nation")
+    key = F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_nationkey").cast("string"))
+    name = F.concat(F.lit('"'), F.col("n_name"), F.lit(', ""'), F.col("n_regionkey"), F.lit('""\n!"'))
     short = F.when(F.col("n_regionkey") > 0, F.concat(F.lit(","), F.col("n_regionkey"))).otherwise("")
-    text = F.concat(F.lit(" key , name , region\r\n"), F.col("n_nationkey"), F.lit(',"'), F.col("n_name"), F.lit('"'), short)
+    text = F.concat(F.lit(" key , name , region\r\n"), key, F.lit(","), name, short)
     row = F.get(documents.csv_objects(text), F.lit(0))
     rows = n.select(row.alias("r"))
     return rows.select(*[F.try_element_at("r", F.lit(k)).alias(v) for k, v in (("key", "nationkey"), ("name", "name"), ("region", "regionkey"))])
 
 
 def _pid(customer: DataFrame) -> Column:
+    """Messages whose version, birth date's precision and address depend on the row."""
     seg = lambda *p: F.concat_ws("|", *p)
-    key = F.col("c_custkey").cast("string")
-    msh = F.lit("MSH|^~\\&|SYS|HOSP|||202304062045||ADT^A01|1|P|2.5.1")
-    pid = seg(F.lit("PID"), F.lit("1"), F.lit(""), F.concat(key, F.lit("^^^^MR")), F.lit(""), F.concat(F.col("c_name"), F.lit("^"), F.col("c_mktsegment")), F.lit(""), F.lit("20220101"), F.lit("F"))
+    key, none = F.col("c_custkey").cast("string"), F.lit("")
+    birth = F.when(F.col("c_custkey") % 3 == 0, "1984").otherwise(F.concat(F.lit("19840"), F.col("c_custkey") % 9 + 1, F.lit("17")))
+    city = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("9 Mill Lane^^"), F.col("c_mktsegment"))).otherwise("")
+    msh = F.concat(F.lit("MSH|^~\\&|Ward^3|North|||201706150"), F.col("c_custkey") % 9 + 1, F.lit("30||ADT^A08|"), key, F.lit("|T|2.5.1"))
+    pid = seg(F.lit("PID"), F.lit("1"), none, F.concat(key, F.lit("^^^^PI")), none, F.concat(F.col("c_name"), F.lit("^"), F.col("c_mktsegment")), none, birth, F.lit("X"), none, none, city)
     return F.concat(msh, F.lit("\n"), pid)
 
 
 @query(
-    """select c_custkey, cast(c_custkey as varchar) as id_number, 'MR' as id_type, c_name as surname, c_mktsegment as given,
-    '2022-01-01' as birth, '2023-04-06T20:45' as sent, 2 as line, cast(null as varchar) as city from customer"""
+    """select c_custkey, cast(c_custkey as varchar) as id_number, 'PI' as id_type, c_name as surname, c_mktsegment as given,
+    case when c_custkey % 3 = 0 then '1984' else concat('1984-0', c_custkey % 9 + 1, '-17') end as birth,
+    concat('2017-06-15T0', c_custkey % 9 + 1, ':30') as sent, 2 as line, case when c_acctbal >= 0 then c_mktsegment end as city from customer"""
 )
 def hl7_pid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
@@ -140,6 +150,23 @@ def hl7_pid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """select c_custkey, case when c_custkey % 2 = 0 then '2016-02-03T04:05' end as new_time, case when c_custkey % 2 = 1 then '201602030405' end as old_time,
+    c_mktsegment as raw, case when c_acctbal < 0 then '2' end as second from customer"""
+)
+def hl7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of each message's own version; segments that no dictionary has are kept raw."""
+    version = F.when(F.col("c_custkey") % 2 == 0, "2.5.1").otherwise("2.3")
+    again = F.when(F.col("c_acctbal") < 0, "\rZBX|2").otherwise("")
+    text = F.concat(F.lit("MSH|^~\\&|a||||201602030405||ADT^A01|1|P|"), version, F.lit("\rZBX|1||"), F.col("c_mktsegment"), again)
+    j = _t(spark, sf_dir, "customer").select("c_custkey", hl7v2.to_json(text).alias("j"))
+    at = lambda path: F.get_json_object("j", path)
+    return j.select(
+        "c_custkey", at("$.MSH.DateTimeOfMessage.Time").alias("new_time"), at("$.MSH.DateTimeOfMessage.TimeOfAnEvent").alias("old_time"),
+        F.coalesce(at("$.ZBX.ZBX3"), at("$.ZBX[0].ZBX3")).alias("raw"), at("$.ZBX[1].ZBX1").alias("second"),
+    )
+
+
 @query(
     """select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) + 1 as line,
     cast(l_linenumber as varchar) as set_id, cast(cast(l_quantity as bigint) as varchar) as value from lineitem"""
@@ -243,12 +270,13 @@ def coerce_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_returnflag = 'N' then cast(l_quantity as bigint) end as quantity from lineitem"""
+    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_returnflag = 'N' then l_extendedprice end as price from lineitem"""
 )
 def coerce_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("l_returnflag") == "N", F.col("l_quantity").cast("bigint").cast("string")).otherwise("n/a")
+    """Numbers written as text keep all of their digits; other text gives nothing."""
+    text = F.when(F.col("l_returnflag") == "N", F.concat(F.lit(" "), F.col("l_extendedprice").cast("string"))).otherwise(F.concat("l_extendedprice", F.lit("d")))
     line = _t(spark, sf_dir, "lineitem")
-    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", validation.to_decimal(text).cast("bigint").alias("quantity"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", validation.to_decimal(text).alias("price"))
 
 
 @query("select o_orderkey, coalesce(case when o_orderstatus <> 'P' then o_orderstatus end, o_orderpriority) as kept, o_orderpriority as single from orders")
@@ -273,15 +301,32 @@ def context_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("l_orderkey", F.size(parts).cast("bigint").alias("n"), total.alias("numbers"), F.size(sq.walk(parts, "note")).cast("bigint").alias("returned"))
 
 
-@query("select c_custkey, 'http://hl7.org/fhir/sid/us-ssn' as system, c_name as value, 2 as n from customer")
+@query(
+    """select c_custkey, case when c_acctbal > 0 then 'http://hl7.org/fhir/sid/us-ssn' else 'http://example.com/identifier/mrn' end as system,
+    case when c_acctbal > 0 then c_name else cast(c_custkey as varchar) end as value, case when c_acctbal > 0 then 2 else 1 end as n from customer"""
+)
 def slice_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice without a value is left out, its fixed content with it."""
     c = _t(spark, sf_dir, "customer")
-    r = Resource(profiles.PATIENT).slice("identifier", "ssn", value=c["c_name"]).slice("identifier", "mrn", value=sc.text(c["c_custkey"]))
+    r = Resource(profiles.PATIENT).slice("identifier", "ssn", value=F.when(c["c_acctbal"] > 0, c["c_name"])).slice("identifier", "mrn", value=sc.text(c["c_custkey"]))
     p = c.select("c_custkey", r.column().alias("p"))
     first = sq.item(F.col("p.identifier"), 0)
     return p.select("c_custkey", first["system"].alias("system"), first["value"].alias("value"), F.size("p.identifier").alias("n"))
 
 
+@query(
+    """select c_custkey, case when c_acctbal > 0 then 1 else 0 end as n, case when c_acctbal > 0 then 'urn:example:segment' end as url,
+    case when c_acctbal > 0 then c_mktsegment end as code from customer"""
+)
+def extension_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension by its definition; none for a missing value."""
+    c = _t(spark, sf_dir, "customer")
+    segment = Extension("urn:example:segment", "valueCode")
+    p = c.select("c_custkey", Resource(profiles.PATIENT).extension(segment, F.when(c["c_acctbal"] > 0, c["c_mktsegment"])).column().alias("p"))
+    first = sq.item(F.col("p.extension"), 0)
+    return p.select("c_custkey", F.greatest(F.coalesce(F.size("p.extension"), F.lit(0)), F.lit(0)).alias("n"), first["url"].alias("url"), first["valueCode"].alias("code"))
+
+
 @query("select c_custkey, case when c_acctbal >= 0 then 1 else 0 end as n, case when c_acctbal >= 0 then c_name end as value from customer")
 def empty_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer")
@@ -402,11 +447,14 @@ def bundle_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("select c_custkey, '2nd' as id, c_name as name, true as extra from customer")
+@query(
+    """select c_custkey, concat('c', c_custkey) as id, case when c_acctbal > 0 then c_name end as name, c_mktsegment = 'BUILDING' as extra from customer"""
+)
 def update_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
-    u = _t(spark, sf_dir, "customer").select("c_custkey", updated(base, ["id", "name"], id=F.lit("2nd"), extra=F.lit(True)).alias("u"))
-    return u.select("c_custkey", "u.id", "u.name", "u.extra")
+    c = _t(spark, sf_dir, "customer")
+    base = F.struct(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"))
+    changed = updated(base, ["id", "name"], id=F.concat(F.lit("c"), "c_custkey"), extra=sc.equal(F.col("c_mktsegment"), "BUILDING"))
+    return c.select("c_custkey", changed.alias("u")).select("c_custkey", "u.id", "u.name", "u.extra")
 
 
 @query(
@@ -423,30 +471,148 @@ def invocation_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select o_orderkey, round(o_totalprice, 2) as systolic, 'mm[Hg]' as unit, 'http://hl7.org/fhir/StructureDefinition/bp' as profile,
-    '8480-6' as code, 2 as n from orders"""
+    '8480-6' as code, '85354-9' as root, 'vital-signs' as category, case when o_orderstatus = 'F' then 2 else 1 end as n,
+    case when o_orderstatus = 'F' then '8462-4' end as other, concat('c', o_custkey) as subject from orders"""
 )
 def profile_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the profile fixes at its root and in its slices comes with it."""
     o = _t(spark, sf_dir, "orders")
-    r = Resource(profiles.BLOOD_PRESSURE).assign("status", F.lit("final")).assign("code", F.struct(F.lit("85354-9").alias("code")))
-    r.slice("component", "SystolicBP", value=F.round("o_totalprice", 2)).slice("component", "DiastolicBP", value=F.round("o_totalprice", 2))
+    r = Resource(profiles.BLOOD_PRESSURE).assign("status", F.lit("final")).assign("subject.identifier.value", F.concat(F.lit("c"), "o_custkey"))
+    low = F.when(F.col("o_orderstatus") == "F", F.round("o_totalprice", 2))
+    r.slice("component", "SystolicBP", value=F.round("o_totalprice", 2)).slice("component", "DiastolicBP", value=low)
     p = o.select("o_orderkey", r.column().alias("p"))
-    first = sq.item(F.col("p.component"), 0)
+    part = lambda i: sq.item(F.col("p.component"), i)
+    code = lambda c: sq.item(c["coding"], 0)["code"]
     return p.select(
-        "o_orderkey", first["value"].alias("systolic"), first["unit"].alias("unit"), sq.item(F.col("p.meta.profile"), 0).alias("profile"),
-        first["code"].alias("code"), F.size("p.component").alias("n"),
+        "o_orderkey", part(0)["valueQuantity"]["value"].alias("systolic"), part(0)["valueQuantity"]["code"].alias("unit"),
+        sq.item(F.col("p.meta.profile"), 0).alias("profile"), code(part(0)["code"]).alias("code"), code(F.col("p.code")).alias("root"),
+        code(sq.item(F.col("p.category"), 0)).alias("category"), F.size("p.component").alias("n"), code(part(1)["code"]).alias("other"),
+        F.col("p.subject.identifier.value").alias("subject"),
     )
 
 
-@query("select s_suppkey, s_name as value from supplier")
+@query("select s_suppkey, case when s_acctbal > 0 then s_name end as value, true as only_last from supplier")
 def choice_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two types of one choice are set; the last one stays."""
     s = _t(spark, sf_dir, "supplier")
-    r = Resource(profiles.OBSERVATION).assign("status", F.lit("final")).assign("valueBoolean", F.lit(True)).assign("valueString", s["s_name"])
-    return s.select("s_suppkey", r.column().alias("r")).select("s_suppkey", F.col("r.valueString").alias("value"))
+    r = Resource(profiles.OBSERVATION).assign("status", F.lit("final")).assign("valueBoolean", F.lit(True))
+    r.assign("valueString", F.when(s["s_acctbal"] > 0, s["s_name"]))
+    rows = s.select("s_suppkey", r.column().alias("r"))
+    return rows.select("s_suppkey", F.col("r.valueString").alias("value"), (~F.to_json("r").contains("valueBoolean")).alias("only_last"))
 
 
 @query("select p_partkey, count(*) over (partition by p_brand) as same_brand from part")
 def grouped_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouping across rows by a computed key, each row keeping its place."""
-    p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", F.count("*").over(Window.partitionBy("p_brand")).alias("same_brand"))
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return sq.counted_by(p, "p_brand", "same_brand").select("p_partkey", "same_brand")
+
+
+@query(
+    f"""select c_custkey, concat('urn:uuid:', {_uuid_sql("concat('{\"resourceType\":\"Basic\",\"id\":\"', c_custkey, '\",\"balance\":', regexp_replace(cast(c_acctbal as varchar), '[.]0$', ''), ',\"ten\":', cast(c_custkey as bigint) * 10000000, '}')")}) as full_url
+    from customer"""
+)
+def content_link_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The link of a resource with numbers, which are written as JSON writes them."""
+    c = _t(spark, sf_dir, "customer")
+    ten = (F.col("c_custkey") * 10_000_000).cast("double")
+    basic = F.struct(F.lit("Basic").alias("resourceType"), F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal").cast("double").alias("balance"), ten.alias("ten"))
+    rows = c.select("c_custkey", basic.alias("r"))
+    return rows.select("c_custkey", sc.content_link(F.col("r"), rows.schema["r"].dataType).alias("full_url"))
+
+
+@query(
+    """select o_orderkey, n >= 2 as ok, case when n < 2 then concat('The FHIR element "note" is mandatory in "Order" (minimum 2), but ',
+    case when n = 0 then 'no value was' else '1 value was' end, ' provided.') end as message
+    from (select o_orderkey, (case when o_orderstatus = 'F' then 1 else 0 end) + (case when o_orderkey % 2 = 0 then 1 else 0 end) as n from orders)"""
+)
+def cardinality_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A minimum of two values of a repeating element; missing ones don't count."""
+    note = F.array(F.when(F.col("o_orderstatus") == "F", "a"), F.when(F.col("o_orderkey") % 2 == 0, "b"))
+    check = validation.mandatory(note, "note", "Order", minimum=2, many=True)
+    r = _t(spark, sf_dir, "orders").select("o_orderkey", diag.report(note, diag.gathered(check)).alias("r"))
+    return r.select("o_orderkey", "r.ok", diag.primary(F.col("r"))["message"].alias("message"))
+
+
+@query(
+    """select o_orderkey, o_orderstatus <> 'P' as ok, case when o_orderstatus <> 'P' then 200 else 206 end as status,
+    case when o_orderstatus = 'P' then 'The FHIR element "status" is mandatory in "Observation" (minimum 1), but no value was provided.' end as message,
+    case when o_orderstatus = 'P' then 'MIN' end as code from orders"""
+)
+def mandatory_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resource's mandatory elements are checked by the engine; the older error shape."""
+    from tessella.engine import Engine
+
+    def mapping(d: DataFrame, b) -> Resource:
+        status = F.when(d["o_orderstatus"] != "P", d["o_orderstatus"])
+        return Resource(profiles.OBSERVATION, d["o_orderkey"]).assign("status", status).assign("code.text", F.concat(F.lit("o"), d["o_orderpriority"]))
+
+    r = Engine().transform_checked(_t(spark, sf_dir, "orders"), mapping, output="r")
+    e = diag.legacy_error(F.col("r"))
+    return r.select("o_orderkey", "r.ok", "r.status", e["message"].alias("message"), e["code"].alias("code"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey in (select p_partkey from part where p_size > 25) as large from lineitem")
+def value_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership in a value set of any size."""
+    members = _t(spark, sf_dir, "part").filter(F.col("p_size") > 25).select(F.col("p_partkey").alias("code"))
+    rows = terminology.with_membership(_t(spark, sf_dir, "lineitem"), None, "l_partkey", members, "large")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "large")
+
+
+@query(
+    """select o_orderkey, case o_orderstatus when 'F' then 'gram' when 'O' then 'kilogram' end as unit,
+    case o_orderstatus when 'F' then 'g' when 'O' then 'alpha' end as target from orders"""
+)
+def unit_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quantity's unit name from its code; of several targets of a map, the smallest."""
+    ucum = "http://unitsofmeasure.org"
+    unit = F.lit(None).cast("string")
+    known = {(ucum, "F"): "gram", (ucum, "O"): "kilogram"}
+    rows = _t(spark, sf_dir, "orders").withColumn("unit", validation.injected_unit(unit, F.lit(ucum), F.col("o_orderstatus"), known))
+    maps = spark.createDataFrame([("F", "g"), ("O", "beta"), ("O", "alpha")], "code string, target_code string")
+    return terminology.translate(rows, "o_orderstatus", maps, "target").select("o_orderkey", "unit", "target")
+
+
+@query(
+    """select o_custkey, string_agg(w, ' ' order by o_orderkey, i) as words from (
+    select o_custkey, o_orderkey, generate_subscripts(string_split(o_orderpriority, '-'), 1) as i, unnest(string_split(o_orderpriority, '-')) as w from orders) group by o_custkey"""
+)
+def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path over fields that repeat gives one flat sequence."""
+    o = _t(spark, sf_dir, "orders")
+    words = F.struct(F.col("o_orderkey").alias("key"), F.struct(sc.split_text(F.col("o_orderpriority"), "-").alias("word")).alias("priority"))
+    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(words)).alias("orders"))
+    return rows.select("o_custkey", sc.join_list(sq.walk(F.col("orders"), "priority", "word*"), " ").alias("words"))
+
+
+_SAVED = """
+Instance: concat('o', o_orderkey)
+InstanceOf: Observation
+* status = case when o_orderstatus = 'F' then $done end
+* code
+  * text = o_orderpriority
+* subject.reference = concat('Patient/', o_custkey)
+* valueString = 'first'
+* valueBoolean = o_totalprice > 100000
+* (split(o_orderpriority, '-')).component
+  * text = upper(it)
+"""
+
+
+@query(
+    """select o_orderkey, concat('o', o_orderkey) as id, case when o_orderstatus = 'F' then 'final' end as status, o_orderpriority as code,
+    concat('Patient/', o_custkey) as subject, o_totalprice > 100000 as large, upper(split_part(o_orderpriority, '-', 2)) as second,
+    o_orderstatus = 'F' as ok from orders"""
+)
+def saved_mapping_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping saved as rule lines, with Spark SQL for its expressions, run by name."""
+    from tessella.engine import Engine
+
+    engine = Engine(bindings={"done": "final"})
+    engine.load_mappings(spark.createDataFrame([("obs", "file", _SAVED)], "key string, source string, expression string"))
+    r = engine.transform_verbose(_t(spark, sf_dir, "orders"), "obs", output="r").select("o_orderkey", "r.ok", "r.result.*")
+    return r.select(
+        "o_orderkey", "id", "status", F.col("code.text").alias("code"), F.col("subject.reference").alias("subject"), F.col("valueBoolean").alias("large"),
+        sq.item(F.col("component"), 1)["text"].alias("second"), "ok",
+    )

@@ -1,7 +1,7 @@
 """HL7 v2 messages as nested columns.
 
 Names come from a dictionary for each version, limited to the segments and fields listed
-here; a field that isn't listed is kept raw under its segment and number.
+here; a field or segment that isn't listed is kept raw under its segment and number.
 """
 
 from __future__ import annotations
@@ -118,10 +118,21 @@ SEGMENTS = {
 }
 
 
-def _lines(message: Column) -> Column:
-    """Segments of a message with their 1-based line."""
+def _ids(message: Column) -> Column:
+    """(line, id, raw) of a message's segments, lines counted from 1."""
     lines = F.filter(F.split(message, "\r\n|\n|\r"), lambda line: line != "")
-    return F.transform(lines, lambda line, i: F.struct(F.substring(line, 1, 3).alias("id"), (i + 1).alias("line"), F.split(line, "\\|", -1).alias("f")))
+    return F.transform(lines, lambda line, i: F.struct((i + 1).alias("line"), F.substring(line, 1, 3).alias("id"), line.alias("raw")))
+
+
+def _fields(segments: Column) -> Column:
+    """(line, f, c) of segments: fields, and the components of each; every text is cut once."""
+    cut = F.transform(segments, lambda s: F.struct(s["line"].alias("line"), s["id"].alias("id"), F.split(s["raw"], "\\|", -1).alias("f")))
+    parts = lambda f: F.transform(f, lambda v: F.split(v, "\\^", -1))
+    return F.transform(cut, lambda s: F.struct(s["line"].alias("line"), s["id"].alias("id"), s["f"].alias("f"), parts(s["f"]).alias("c")))
+
+
+def _named(message: Column, name: str) -> Column:
+    return _fields(F.filter(_ids(message), lambda s: s["id"] == name))
 
 
 def _iso(digits: Column) -> Column:
@@ -134,61 +145,102 @@ def _plain(value: Column) -> Column:
     return F.when(value != "", value)
 
 
-def _composite(value: Column, kind: str, types: dict, separator: str) -> Column:
-    """Named components; null where all of them are."""
-    parts = F.split(value, separator, -1)
-    out = []
+def _composite(parts: Column, kind: str, types: dict) -> Column:
+    """Named components of a field's parts; null where all of them are."""
+    out, some = [], []
     for n, spec in types[kind].items():
         name, inner = spec if isinstance(spec, tuple) else (spec, None)
         raw = _plain(F.get(parts, F.lit(n - 1)))
-        column = raw if inner is None else _iso(raw) if inner == "iso" else _composite(raw, inner, types, "&")
+        if inner is None or inner == "iso":
+            column, there = raw if inner is None else _iso(raw), raw
+        else:
+            column = there = _composite(F.split(raw, "&", -1), inner, types)
         out.append(column.alias(name))
-    some = reduce(Column.__or__, [c.isNotNull() for c in out])
-    return F.when(some, F.struct(*out))
+        some.append(there.isNotNull())
+    return F.when(reduce(Column.__or__, some), F.struct(*out))
 
 
 def segment(message: Column, name: str, version: str = "2.5.1") -> Column:
-    """All segments of one name as an array of structs; empty parts are null."""
-    description, fields = SEGMENTS[version][name]
+    """All segments of one name as an array of structs; empty parts are null.
+
+    A name that the dictionary lacks has its line alone; ``unlisted`` has the fields.
+    """
+    description, fields = SEGMENTS[version].get(name, (None, {}))
     types = TYPES[version]
     shift = 1 if name == "MSH" else 0  # the separator itself is MSH-1
 
     def build(s: Column) -> Column:
-        out = [F.lit(description).alias("SegmentDescription"), s["line"].alias("MessageLine")]
+        out = ([F.lit(description).alias("SegmentDescription")] if description else []) + [s["line"].alias("MessageLine")]
         if name == "MSH":
             out += [F.lit("|").alias("FieldSeparator"), F.get(s["f"], F.lit(1)).alias("EncodingCharacters")]
         for n, spec in fields.items():
             title, kind = spec if isinstance(spec, tuple) else (spec, None)
-            raw = _plain(F.get(s["f"], F.lit(n - shift)))
-            out.append((raw if kind is None else _composite(raw, kind, types, "\\^")).alias(title))
+            at = F.lit(n - shift)
+            out.append((_plain(F.get(s["f"], at)) if kind is None else _composite(F.get(s["c"], at), kind, types)).alias(title))
         return F.struct(*out)
 
-    return F.transform(F.filter(_lines(message), lambda s: s["id"] == name), build)
+    return F.transform(_named(message, name), build)
+
+
+def _raw(s: Column, known: list[int], shift: int) -> Column:
+    """A map of a segment's non-empty fields but for the known ones, by segment and number."""
+    numbered = F.transform(s["f"], lambda v, i: F.struct(F.concat(s["id"], (i + shift).cast("string")).alias("k"), v.alias("v"), (i + shift).alias("n")))
+    left = F.filter(numbered, lambda p: (p["n"] > shift) & (p["v"] != "") & ~p["n"].isin(known))
+    return F.map_from_entries(F.transform(left, lambda p: F.struct(p["k"], p["v"])))
 
 
 def unlisted(message: Column, name: str, version: str = "2.5.1") -> Column:
     """For each segment of one name, a map of its fields that the dictionary lacks."""
-    known = list(SEGMENTS[version][name][1]) + ([1, 2] if name == "MSH" else [])
-    shift = 1 if name == "MSH" else 0
+    known = list(SEGMENTS[version].get(name, ("", {}))[1]) + ([1, 2] if name == "MSH" else [])
+    return F.transform(_named(message, name), lambda s: _raw(s, known, 1 if name == "MSH" else 0))
+
+
+def message_version(message: Column) -> Column:
+    """MSH-12's first component."""
+    return F.get(F.get(F.get(_named(message, "MSH"), F.lit(0))["c"], F.lit(11)), F.lit(0))
+
+
+def _member(name: Column, objects: Column) -> Column:
+    """``"name":object``, an array where there are several, null where there are none."""
+    text = F.when(F.size(objects) == 1, F.get(objects, F.lit(0))).when(F.size(objects) > 1, F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
+    return F.when(text.isNotNull(), F.concat(F.lit('"'), name, F.lit('":'), text))
 
-    def build(s: Column) -> Column:
-        numbered = F.transform(s["f"], lambda v, i: F.struct(F.concat(F.lit(name), (i + shift).cast("string")).alias("k"), v.alias("v"), (i + shift).alias("n")))
-        left = F.filter(numbered, lambda p: (p["n"] > shift) & (p["v"] != "") & ~p["n"].isin(known))
-        return F.map_from_entries(F.transform(left, lambda p: F.struct(p["k"], p["v"])))
 
-    return F.transform(F.filter(_lines(message), lambda s: s["id"] == name), build)
+def _both(a: Column, b: Column) -> Column:
+    """Two JSON objects, the first with members, as one."""
+    return F.when(b == "{}", a).otherwise(F.concat(F.substring(a, F.lit(1), F.length(a) - 1), F.lit(","), F.substring(b, F.lit(2), F.length(b))))
 
 
-def to_json(message: Column, names: list[str], version: str = "2.5.1") -> Column:
-    """The message as JSON text: a lone segment as an object, repeats as an array."""
+def _to_json(message: Column, names: list[str] | None, version: str) -> Column:
+    listed = list(SEGMENTS[version]) if names is None else names
     out = []
-    for name in names:
-        full = F.transform(
-            F.arrays_zip(segment(message, name, version).alias("s"), unlisted(message, name, version).alias("u")),
-            lambda p: F.when(F.size(p["u"]) == 0, F.to_json(p["s"])).otherwise(
-                F.concat(F.regexp_replace(F.to_json(p["s"]), "\\}$", ""), F.lit(","), F.regexp_replace(F.to_json(p["u"]), "^\\{", ""))
-            ),
-        )
-        text = F.when(F.size(full) == 1, F.get(full, F.lit(0))).when(F.size(full) > 1, F.concat(F.lit("["), F.array_join(full, ","), F.lit("]")))
-        out.append(F.when(text.isNotNull(), F.concat(F.lit(f'"{name}":'), text)))
-    return F.concat(F.lit("{"), F.concat_ws(",", *out), F.lit("}"))
+    for name in listed:
+        pairs = F.arrays_zip(segment(message, name, version).alias("s"), unlisted(message, name, version).alias("u"))
+        out.append(_member(F.lit(name), F.transform(pairs, lambda p: _both(F.to_json(p["s"]), F.to_json(p["u"])))))
+    if names is None:
+        rest = F.filter(_ids(message), lambda s: ~s["id"].isin(listed))
+
+        def others(found: Column) -> Column:
+            ids = F.array_distinct(F.transform(found, lambda s: s["id"]))
+            one = lambda s: _both(F.to_json(F.struct(s["line"].alias("MessageLine"))), F.to_json(_raw(s, [], 0)))
+            return F.array_join(F.transform(ids, lambda k: _member(k, F.transform(F.filter(found, lambda s: s["id"] == k), one))), ",")
+
+        text = F.transform(F.array(_fields(rest)), others)[0]
+        out.append(F.when(text != "", text))
+    return F.when(message.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *out), F.lit("}")))
+
+
+def to_json(message: Column, names: list[str] | None = None, version: str | None = None) -> Column:
+    """The message as JSON text: a lone segment as an object, repeats as an array.
+
+    All segments, or those of ``names``.  Without a version, each message's own (MSH-12)
+    picks the dictionary; the newest serves versions that aren't listed.
+    """
+    if version is not None:
+        return _to_json(message, names, version)
+    own, newest = message_version(message), max(SEGMENTS)
+    out = _to_json(message, names, newest)
+    for other in SEGMENTS:
+        if other != newest:
+            out = F.when(own == other, _to_json(message, names, other)).otherwise(out)
+    return out

@@ -11,6 +11,7 @@ from tessella.functions import sequence as sq
 from tessella.operators import diagnostics as diag
 from tessella.operators import invocation, profiles, validation
 from tessella.operators.resource import Resource, entry
+from tessella.operators.rules import RuleError, rule_mapping
 from tessella.sources import documents, hl7v2, registry
 from tessella.streaming.mapping import refreshed_batches, stream_mapping
 
@@ -88,6 +89,16 @@ def test_hl7_older_version_keeps_digits(spark):
     assert got["NTE"] == {"SegmentDescription": "Notes and comments segment", "MessageLine": 2, "SetID": "2", "SourceOfComment": "L", "Comment": "weighed twice", "NTE4": "end"}
 
 
+def test_hl7_picks_the_dictionary_by_message_and_keeps_unknown_segments(spark):
+    new = "MSH|^~\\&|A||||20200102||ADT^A01|1|P|2.5.1\rZPT|x||a^b\nNK1|1|Sib^Ling\nZPT|y"
+    old = "MSH|^~\\&|A||||20200102||ADT^A01|1|P|2.3\nNTE|1|L|text"
+    got = [json.loads(r.j) for r in spark.createDataFrame([(new,), (old,)], "x string").select(hl7v2.to_json(F.col("x")).alias("j")).collect()]
+    assert got[0]["MSH"]["DateTimeOfMessage"] == {"Time": "2020-01-02"} and got[0]["NK1"] == {"MessageLine": 3, "NK11": "1", "NK12": "Sib^Ling"}
+    assert got[0]["ZPT"] == [{"MessageLine": 2, "ZPT1": "x", "ZPT3": "a^b"}, {"MessageLine": 4, "ZPT1": "y"}]
+    assert got[1]["MSH"]["DateTimeOfMessage"] == {"TimeOfAnEvent": "20200102"} and got[1]["NTE"]["Comment"] == "text"
+    assert one(spark, hl7v2.to_json(F.col("x")), None) is None
+
+
 def test_xml_values(spark):
     x = documents.xml_document(F.col("x"), "given string, family struct<_value:string>")
     row = one(spark, x, '<root><given>A</given><family value="B"/></root>')
@@ -102,6 +113,52 @@ def test_sequences(spark):
     assert one(spark, sq.keyed(F.array(F.lit("a"), F.lit("b")), lambda v, i: F.lit("k"))) == {"k": "b"}
 
 
+def test_paths_over_repeating_fields_are_flattened(spark):
+    kind = "array<struct<name:array<struct<given:array<string>,family:string>>>>"
+    people = [{"name": [{"given": ["A", "B"], "family": "X"}, {"given": None, "family": None}]}, {"name": None}, {"name": [{"given": ["C"], "family": "Y"}]}]
+    assert one(spark, sq.walk(F.col("x"), "name*", "given*"), people, kind) == ["A", "B", "C"]
+    assert one(spark, sq.walk(F.col("x"), "name*", "family"), people, kind) == ["X", "Y"]
+
+
+def test_keys_that_repeat_or_are_missing(spark):
+    values = F.split(F.col("x"), ",")
+    key = lambda v, i: F.when(v != "none", F.substring(v, 1, 1))
+    assert one(spark, sq.keyed(values, key), "a1,b1,none,a2") == {"a": "a2", "b": "b1"}
+    assert one(spark, sq.keyed(values, key), "none") == {} and one(spark, sq.keyed(values, key)) is None
+    many = ",".join(f"{i % 3000}" for i in range(30_000))
+    got = one(spark, sq.keyed(values, lambda v, i: v), many)
+    assert len(got) == 3000 and len(one(spark, sq.grouped(values, lambda v, i: v), many)["7"]) == 10
+
+
+@pytest.mark.parametrize(
+    "value,kind,want",
+    [
+        ("v1.0", "string", "v1.0"), (12345678.0, "double", "12345678"), (0.1, "double", "0.1"), (120.0, "double", "120"), (1e21, "double", "1e+21"),
+        (1.5e-7, "double", "1.5e-7"), (-2.5, "float", "-2.5"), (123456789012345680000.0, "double", "123456789012345680000"), (0.0, "double", "0"), (7, "int", "7"),
+        (True, "boolean", "true"), (None, "double", None),
+    ],
+)
+def test_numbers_are_written_as_in_json(spark, value, kind, want):
+    assert one(spark, sc.text(F.col("x")), value, kind) == want
+
+
+def test_json_text_writes_numbers_plainly(spark):
+    kind = "struct<a:double,b:array<double>,c:string,d:struct<e:double>,f:decimal(9,3)>"
+    row = {"a": 12345678.0, "b": [1.0, 0.5], "c": 'x "1.0" \\u0001', "d": None, "f": None}
+    df = spark.createDataFrame([(row,)], f"x {kind}")
+    text = df.select(sc.json_text(F.col("x"), df.schema["x"].dataType).alias("y")).first().y
+    assert text == '{"a":12345678,"b":[1,0.5],"c":"x \\"1.0\\" \\\\u0001"}'
+
+
+@pytest.mark.parametrize(
+    "kind,value,want", [("string", "", False), ("string", "a", True), ("boolean", False, False), ("double", 0.0, False), ("double", 2.0, True), ("array<string>", [""], False), ("array<string>", [], False), ("array<string>", ["", "b"], True)]
+)
+def test_truthiness(spark, kind, value, want):
+    name = {"double": "number", "array<string>": "array"}.get(kind, kind)
+    assert one(spark, sc.truthy(F.col("x"), name), value, kind) is want
+    assert one(spark, sc.truthy(F.col("x"), name), None, kind) is False
+
+
 def test_grouped_keeps_every_value_of_a_repeated_key(spark):
     values = F.split(F.col("x"), ",")
     got = one(spark, sq.grouped(values, lambda v, i: F.when(v != "none", F.substring(v, 1, 1))), "a1,b1,none,a2,a1")
@@ -119,6 +176,102 @@ def test_rules(spark):
         r.assign("nothing", F.lit(1))
 
 
+def test_root_content_nested_rules_and_extensions(spark):
+    from tessella.operators.resource import Extension
+
+    kin = Extension("urn:x:kin", "valueCode")
+    r = Resource(profiles.BLOOD_PRESSURE).assign("status", F.lit("final")).assign("subject.identifier.value", F.col("x"))
+    r.slice("component", "SystolicBP", value=F.lit(118)).slice("component", "DiastolicBP", value=F.lit(None).cast("int"))
+    got = json.loads(one(spark, F.to_json(r.column()), "m1"))
+    assert list(got) == ["resourceType", "meta", "status", "category", "code", "subject", "component"]
+    assert got["code"] == {"coding": [{"system": "http://loinc.org", "code": "85354-9"}]} and got["category"][0]["coding"][0]["code"] == "vital-signs"
+    assert got["subject"] == {"identifier": {"value": "m1"}} and len(got["component"]) == 1
+    assert got["component"][0]["valueQuantity"] == {"value": 118, "unit": "millimeter of mercury", "system": "http://unitsofmeasure.org", "code": "mm[Hg]"}
+    assert "subject" not in json.loads(one(spark, F.to_json(r.column())))
+    again = Resource(profiles.BLOOD_PRESSURE).assign("code.coding", F.array(F.struct(F.lit("85354-9").alias("code"))))
+    assert json.loads(one(spark, F.to_json(again.column())))["code"] == {"coding": [{"code": "85354-9"}]}
+    p = Resource(profiles.PATIENT).extension(kin, F.col("x")).assign("name.family", F.lit("Q")).assign("name.given", F.array(F.lit("Z")))
+    got = json.loads(one(spark, F.to_json(p.column()), "aunt"))
+    assert got["extension"] == [{"url": "urn:x:kin", "valueCode": "aunt"}] and got["name"] == [{"family": "Q", "given": ["Z"]}]
+    assert "extension" not in json.loads(one(spark, F.to_json(p.column())))
+
+
+def test_mandatory_elements_are_checked_by_themselves(spark):
+    docs = spark.createDataFrame([("final",), (None,)], "v string")
+    make = lambda d, b: Resource(profiles.OBSERVATION).assign("status", d["v"]).assign("code", F.struct(F.lit("c").alias("text")))
+    engine = Engine()
+    got = [r.report for r in engine.transform_verbose(docs, make).collect()]
+    assert [g.ok for g in got] == [True, False] and got[1].diagnostics.error[0].fhirElement == "status"
+    assert [r.result.status for r in engine.transform(docs, make).collect()] == ["final", None]
+    assert one(spark, validation.mandatory(F.array().cast("array<string>"), "name", "P", many=True)).message.endswith("(minimum 1), but no value was provided.")
+    assert one(spark, validation.mandatory(F.array(F.lit("a")), "name", "P", minimum=2, many=True)).message.endswith("(minimum 2), but 1 value was provided.")
+    assert one(spark, validation.mandatory(F.array(F.lit("a")), "name", "P", many=True)) is None
+    warned = lambda d: [diag.warn(F.lit("w"))]
+    kept = engine.transform_checked(docs, make, warned).collect()
+    assert all(r.report.diagnostics.warning == [] for r in kept)
+    error = engine.transform_verbose(docs, make).select(diag.legacy_error(F.col("report")).alias("e")).collect()
+    assert error[0].e is None and len(error[1].e) == 11 and error[1].e.code == "MIN" and error[1].e["__isFlashError"] is False
+
+
+def test_membership_and_smallest_targets(spark):
+    rows = spark.createDataFrame([(1, "s", "a"), (2, "s", "z"), (3, "t", "a"), (4, None, None)], "k int, sys string, code string")
+    members = spark.createDataFrame([("s", "a"), ("s", "a"), (None, "z")], "system string, code string")
+    from tessella.operators import terminology
+
+    got = {r.k: r.ok for r in terminology.with_membership(rows, "sys", "code", members, "ok").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: None}
+    maps = spark.createDataFrame([("a", "y"), ("a", "x")], "code string, target_code string")
+    assert {r.k: r.to for r in terminology.translate(rows, "code", maps, "to").collect()} == {1: "x", 2: None, 3: "x", 4: None}
+    checked = rows.withColumn("ok", F.lit(False)).select(validation.required_code(F.col("code"), None, "p", "P", ok=F.col("ok"))["code"].alias("c"))
+    assert [r.c for r in checked.collect()] == ["F5120", "F5120", "F5120", None]
+    unit = validation.injected_unit(F.lit(None).cast("string"), F.lit("u"), F.lit("kg"), {("u", "kg"): "kilogram"})
+    assert one(spark, unit) == "kilogram"
+
+
+@pytest.mark.parametrize("value,want", [("125", 125.0), (" -1.25e2 ", -125.0), ("0.123456789", 0.123456789), (".5", 0.5), ("1d", None), ("NaN", None), ("", None)])
+def test_decimals_keep_their_digits(spark, value, want):
+    assert one(spark, validation.to_decimal(F.col("x")), value) == want
+
+
+SAVED = """
+  // a made-up mapping
+  Instance: concat('p', k)
+  InstanceOf: Patient
+  * active = k > 1 // a comment
+  * name
+    * family = concat($prefix, n)
+    * given = array('http://x', "$prefix")
+  * identifier[ssn]
+  * identifier[mrn].value = cast(k as string)
+  * (parts).address
+    * text = upper(it)
+  * birthDate = nullif(n, 'b')
+"""
+
+
+def test_saved_mapping_runs(spark, tmp_path):
+    (tmp_path / "pat.map").write_text(SAVED)
+    engine = Engine(Config(mappings_folder=str(tmp_path)), {"prefix": "O'"})
+    assert engine.load_mappings(registry.folder(spark, f"file://{tmp_path}")) == ["pat"]
+    docs = spark.createDataFrame([(1, "a", ["x", None, "y"]), (2, "b", None)], "k int, n string, parts array<string>")
+    got = [json.loads(r.j) for r in engine.transform(docs, "pat").select(F.to_json("result").alias("j")).collect()]
+    assert got[0] == {
+        "resourceType": "Patient", "id": "p1", "active": False, "name": [{"family": "O'a", "given": ["http://x", "$prefix"]}], "birthDate": "a",
+        "identifier": [{"system": "http://hl7.org/fhir/sid/us-ssn"}, {"system": "http://example.com/identifier/mrn", "value": "1"}],
+        "address": [{"text": "X"}, {"text": "Y"}],
+    }
+    assert "address" not in got[1] and "birthDate" not in got[1] and got[1]["active"] is True
+    bp = rule_mapping("InstanceOf: bp\n* status = 'final'\n* component[SystolicBP].value = k\n* component[DiastolicBP].value = null", profiles.PROFILES)
+    row = json.loads(engine.transform(docs, bp).select(F.to_json("result").alias("j")).first().j)
+    assert [c["valueQuantity"]["value"] for c in row["component"]] == [1] and row["code"]["coding"][0]["code"] == "85354-9"
+
+
+@pytest.mark.parametrize("text,said", [("* a = 1", "no InstanceOf"), ("InstanceOf: Nobody", "line 1: unknown profile"), ("InstanceOf: Patient\nactive = 1", "line 2 is not a rule")])
+def test_rule_errors_name_the_line(text, said):
+    with pytest.raises(RuleError, match=said):
+        rule_mapping(text, profiles.PROFILES)
+
+
 def test_choice_shorthand(spark):
     from tessella.operators.resource import Element, Profile
 
