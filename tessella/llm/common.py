@@ -7,21 +7,28 @@ import tempfile
 import uuid
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables that this process has written below the shared folder and not removed.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests in
-    local mode) is a folder of our own made and used for checkpoints as well.
+    It is read from ``spark.checkpoint.dir``; only where that is unset in local mode
+    (tests) is a folder of our own made and used for checkpoints as well.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(place)
@@ -30,16 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage.
+
+    The table stays until ``clear`` or the end of a ``temporary`` block removes it.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, since: int = 0, last: int | None = None) -> None:
+    """Remove the tables written so far, once nothing reads them any more."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for place in _MADE[since:last]:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(hadoop).delete(path, True)
+    del _MADE[since:last]
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables written within the block are removed at its end, but for the last one."""
+    before = len(_MADE)
+    yield
+    clear(spark, before, -1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

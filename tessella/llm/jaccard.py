@@ -31,7 +31,7 @@ from tessella.llm.sieve import Sieve, without
 #: Coordinates of a point, points in a leaf of the tree, and children of an inner node.
 GROUPS, LEAF, FAN = 256, 32, 8
 #: Classes of one block that are compared in one task; larger blocks are cut.
-BLOCK = 2000
+BLOCK = 500
 #: Documents of the sample that tells common shingles, and common shingles kept at most.
 SAMPLED, COMMON = 5000, 200_000
 #: Names that a Python task remembers at most, to leave out what it has seen.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import written
 
 #: Documents of one source and size that are ranked together; larger groups are cut by hash.
-RANKED = 10_000
+RANKED = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -86,6 +86,7 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, tolerance: float = 1e
         .join(mean, goals["source"].eqNullSafe(mean["source"]))
         .select(goals["source"], "source_size", "target", "mean", F.lit(0.0).alias("lam"), low.alias("low"), (F.col("mean") * math.log(most)).alias("high")),
         "state",
+        codec="none",
     )
     for _ in range(steps):
         z = F.col("size") / F.col("mean")
@@ -104,7 +105,7 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, tolerance: float = 1e
         near = F.abs(F.col("words") - F.col("target")) <= tolerance * F.col("target")
         lam = F.when(near, F.col("lam")).when(inside, newton).otherwise((low + high) / 2)
         columns = [F.col("s").alias("source"), "source_size", "target", "mean", lam.alias("lam"), low.alias("low"), high.alias("high"), near.alias("near")]
-        state = written(sums.select(*columns), "state")
+        state = written(sums.select(*columns), "state", codec="none")  # a row for each source
         if state.filter(~F.col("near")).isEmpty():
             break
         state = state.drop("near")

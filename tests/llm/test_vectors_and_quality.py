@@ -144,6 +144,65 @@ def _texts(n=400):
     return rows
 
 
+def _plain_statistics(text):
+    """The features of a text, one after the other, in plain Python."""
+    raw = text.encode()
+    white = b"\t\n\x0b\x0c\r "
+    words, now = [], b""
+    for c in raw + b" ":
+        if c in white:
+            words += [now] if now else []
+            now = b""
+        else:
+            now += bytes([c])
+    kind = {c: next((k for k, t in quality.CLASSES.items() if t(np.array([c]))[0]), None) for c in range(256)}
+    for k in quality.CLASSES:  # where classes overlap, the last one counts
+        for c in range(256):
+            if quality.CLASSES[k](np.array([c]))[0]:
+                kind[c] = k
+    n, w = len(raw), len(words)
+    count = {k: sum(kind[c] == k for c in raw) for k in quality.CLASSES}
+    of = lambda a, b: a / b if b else 0.0
+    pairs = list(zip(words, words[1:]))
+    return [of(count[k], n) for k in quality.CLASSES] + [
+        np.log1p(n), np.log1p(w), of(n - count["blank"], w), of(count["upper"], count["upper"] + count["lower"]), of(len(set(words)), w),
+        of(max((words.count(x) for x in words), default=0), w), of(sum(a == b for a, b in pairs), w), of(len(set(pairs)), len(pairs)),
+        of(w, count["line"] + 1), of(sum(kind[x[-1]] in ("shout", "bar", "sign") for x in words), w), of(sum(kind[x[0]] == "upper" for x in words), w),
+    ]
+
+
+def test_statistics_equal_plain_ones():
+    import pyarrow as pa
+    from tessella.llm.bytehash import text_bytes
+
+    rng = random.Random(12)
+    texts = [None, "", " \n", "a", "A!", "one one two\nTwo| ", "é日 É!\x0b x\x0cy", "word " * 500]
+    texts += ["".join(rng.choice("abAB12 \n\t.!|#é") for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    got = quality.statistics(*text_bytes(pa.array(texts, pa.string())))
+    assert got.shape == (len(texts), len(quality.FEATURES))
+    assert np.allclose(got, [_plain_statistics(t or "") for t in texts])
+
+
+def test_first_split_is_the_best_of_all():
+    """One stump against every split of every feature."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = (x[:, 2] + rng.normal(size=300) > 6).astype(float)
+    model = fit(x, y, trees=1, depth=1, rate=1.0)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+
+    def gain(j, t):
+        left = x[:, j] <= t
+        parts = [(g[m].sum(), h[m].sum()) for m in (left, ~left)]
+        return sum(a * a / (b + 1) for a, b in parts) if min(b for _, b in parts) >= 1 else -1.0
+
+    best = max(gain(j, t) for j in range(4) for t in np.unique(x[:, j])[:-1])
+    assert np.isclose(gain(model.feature[0, 0], model.threshold[0, 0]), best)
+    left = x[:, model.feature[0, 0]] <= model.threshold[0, 0]
+    assert np.allclose(model.leaf[0], [-g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+
+
 def test_held_out_accuracy(spark):
     rows = _texts()
     extra = [(900, None, None), (901, "", None), (None, "some text", None), (902, "word " * 300_000, None)]
