@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard, mixing, packing, quality, secrets
-from tessella.llm.common import table, written
+from tessella.llm.common import table, temporary, written
 from tessella.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and reread by the next."""
+    """All stages over ``documents``, each written as Parquet and reread by the next.
+
+    What a stage wrote besides its result is removed once the result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+        with temporary(spark):
+            docs = written(stage(spark, docs, sf_dir), name.split()[0])
     return STAGES[-1][1](spark, docs, sf_dir)
