@@ -32,7 +32,7 @@ class Config:
 
 
 def log_level(value: object) -> int | None:
-    """A logging level for a name; aliases as usual, anything else gives None."""
+    """A logging level for a name or alias (fixed values); anything else gives None."""
     names = {
         "silent": logging.CRITICAL + 10, "none": logging.CRITICAL + 10, "off": logging.CRITICAL + 10, "debug": logging.DEBUG,
         "info": logging.INFO, "warn": logging.WARNING, "warning": logging.WARNING, "error": logging.ERROR, "err": logging.ERROR,

@@ -1,4 +1,7 @@
-"""Automatic conformance: coercions, and checks that give diagnostics rather than errors."""
+"""Automatic conformance: coercions, and checks that give diagnostics rather than errors.
+
+Codes and message texts are fixed values.
+"""
 
 from __future__ import annotations
 

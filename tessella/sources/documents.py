@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources import hl7v2
+
 #: Fixed content types, matched by prefix.
 HL7_TYPES = ("x-application/hl7-v2+er7",)
 CSV_TYPES = ("text/csv",)
@@ -22,6 +26,21 @@ def source_kind(content_type: str | None) -> str:
     raise ValueError(f"Unsupported Content-Type: '{content_type}'")
 
 
+def as_json(text: Column, content_type: Column) -> Column:
+    """Documents of mixed content types as JSON text, by the row's type; none means JSON.
+
+    CSV becomes an array of objects and HL7 v2 an object of segments.  XML needs a schema
+    (``xml_document``) and, like a type that isn't known, gives null.
+    """
+    kind = F.coalesce(content_type, F.lit(""))
+    of = lambda prefixes: reduce(Column.__or__, [kind.startswith(p) for p in prefixes])
+    return (
+        F.when(of(HL7_TYPES), hl7v2.to_json(text))
+        .when(of(CSV_TYPES), F.to_json(csv_objects(text)))
+        .when((kind == "") | of(JSON_TYPES), text)
+    )
+
+
 def json_document(text: Column) -> Column:
     """A document of unknown shape; text that isn't JSON gives null."""
     return F.try_parse_json(text)

@@ -249,6 +249,13 @@ SAVED = """
 """
 
 
+def test_documents_of_mixed_types(spark):
+    rows = [("a,b\n1,", "text/csv; charset=utf-8"), ('{"a":1}', None), ("MSH|^~\\&|Z\rZZ1|v", "x-application/hl7-v2+er7"), ("<a/>", "application/xml"), ("x", "text/plain")]
+    got = [r.j for r in spark.createDataFrame(rows, "x string, t string").select(documents.as_json(F.col("x"), F.col("t")).alias("j")).collect()]
+    assert json.loads(got[0]) == [{"a": "1", "b": ""}] and got[1] == '{"a":1}' and json.loads(got[2])["ZZ1"] == {"MessageLine": 2, "ZZ11": "v"}
+    assert got[3:] == [None, None]
+
+
 def test_saved_mapping_runs(spark, tmp_path):
     (tmp_path / "pat.map").write_text(SAVED)
     engine = Engine(Config(mappings_folder=str(tmp_path)), {"prefix": "O'"})
@@ -362,3 +369,6 @@ def test_stream(spark, tmp_path):
     q = refreshed_batches(docs, mapped, lambda: loads.append(1), lambda d, n: seen.extend(r.result for r in d.collect()), f"file://{tmp_path}/cp", None)
     q.awaitTermination(60)
     assert sorted(seen) == ["a!", "b!"] and not loads
+    again = refreshed_batches(docs, mapped, lambda: loads.append(1), lambda d, n: d.count(), f"file://{tmp_path}/cp2", 1e-9)
+    again.awaitTermination(60)
+    assert loads == [1]
