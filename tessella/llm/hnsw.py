@@ -53,16 +53,17 @@ class Graph:
 
     def _spread(self, near: list[tuple[float, int]], most: int) -> list[int]:
         """Of ``near``, nearest first, those that are nearer to the vector than to one chosen before."""
-        chosen: list[int] = []
         ids = [j for _, j in near]
-        among = self.x[ids] @ self.x[ids].T
-        places: list[int] = []
-        for p, (s, j) in enumerate(near):
-            if not places or among[p, places].max() < s:
+        x, own = self.x[ids], np.array([s for s, _ in near])
+        among = x @ x.T
+        open_ = np.ones(len(ids), bool)
+        chosen: list[int] = []
+        for p, j in enumerate(ids):
+            if open_[p]:
                 chosen.append(j)
-                places.append(p)
                 if len(chosen) == most:
                     return chosen
+                open_ &= among[p] < own
         taken = set(chosen)
         return chosen + [j for j in ids if j not in taken][: most - len(chosen)]
 
@@ -104,7 +105,11 @@ class Graph:
             if not len(new):
                 continue
             seen[new] = now
-            for t, i in zip((x[new] @ q).tolist(), new.tolist()):
+            near = x[new] @ q
+            if len(best_) >= width:  # most neighbours of a late node are too far
+                closer = near > best_[0][0]
+                near, new = near[closer], new[closer]
+            for t, i in zip(near.tolist(), new.tolist()):
                 if len(best_) < width:
                     heapq.heappush(best_, (t, i))
                     heapq.heappush(ahead, (-t, i))

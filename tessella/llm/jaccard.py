@@ -32,8 +32,9 @@ from tessella.llm.sieve import Sieve, without
 GROUPS, LEAF, FAN = 256, 32, 8
 #: Classes of one block that are compared in one task; larger blocks are cut.
 BLOCK = 500
-#: Documents of the sample that tells common shingles, and common shingles kept at most.
-SAMPLED, COMMON = 5000, 200_000
+#: Documents of the sample that tells common shingles at least, the share of all that it
+#: takes at least, and common shingles kept at most.
+SAMPLED, SHARE, COMMON = 5000, 1 / 50, 200_000
 #: Names that a Python task remembers at most, to leave out what it has seen.
 REMEMBERED = 500_000
 
@@ -297,12 +298,12 @@ def _per_text(words: int, make):
 
 
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least three of about ``SAMPLED`` documents have, ascending, and how many have them.
+    """Shingles that at least three documents of a sample have, ascending, and how many have them.
 
-    They only steer which keys are made; no link hangs on them.  At most ``COMMON`` come
-    to the driver.
+    They only steer which keys are made; no link hangs on them.  The sample grows with the
+    table, and at most ``COMMON`` of its shingles come to the driver.
     """
-    step = max(1, rows.count() // SAMPLED)
+    step = max(1, min(rows.count() // SAMPLED, round(1 / SHARE)))
     some = rows.filter(F.pmod(_row_hash(), F.lit(step)) == 0).select("text")
 
     def shingles(rest, h, at, seen):
