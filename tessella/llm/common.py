@@ -112,11 +112,9 @@ def running(values: Column, merge: Callable[[Column, Column], Column], none: int
 
 
 def unused(name: str, docs: DataFrame) -> str:
-    """``name`` behind as many underscores as no column of ``docs`` has."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = "_" + name
-    return name
+    """``name`` behind as many underscores as no column of ``docs`` begins with."""
+    most = max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0)
+    return "_" * (most + 1) + name
 
 
 def in_order(df: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:

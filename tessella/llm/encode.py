@@ -25,7 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Bytes whose pieces are looked up in one go.
 SPAN = 2_000_000
 #: Pieces that one Python worker keeps at most; beyond it the table starts anew.
-TABLE_PIECES = 1_500_000
+TABLE_PIECES = 500_000
 #: Bytes of a piece that is kept; longer ones are encoded wherever they occur.
 LONGEST = 128
 

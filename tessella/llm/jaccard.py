@@ -31,12 +31,12 @@ from tessella.llm.sieve import Sieve, without
 #: Coordinates of a point, points in a leaf of the tree, and children of an inner node.
 GROUPS, LEAF, FAN = 256, 32, 8
 #: Classes of one block that are compared in one task; larger blocks are cut.
-BLOCK = 500
+BLOCK = 2000
 #: Documents of the sample that tells common shingles at least, the share of all that it
 #: takes at least, and common shingles kept at most.
 SAMPLED, SHARE, COMMON = 5000, 1 / 50, 200_000
 #: Names that a Python task remembers at most, to leave out what it has seen.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def group_counts(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:

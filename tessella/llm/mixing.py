@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import written
+from tessella.llm.common import unused, written
 
 #: Documents of one source and size that are ranked together; larger groups are cut by hash.
 RANKED = 1000
@@ -208,28 +208,29 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; columns stay the same."""
     chosen = mix(docs, **options).filter((F.col("copies") > 0) | (F.col("more") > 0))
-    chosen = chosen.select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies"), F.col("more").alias("__more")
-    )
+    id_, source, hash_, copies, more, row, turn = (unused(n, docs) for n in ("id", "source", "hash", "copies", "more", "row", "turn"))
+    renamed = {"doc_id": id_, "source": source, "text_hash": hash_, "copies": copies, "more": more}
+    chosen = chosen.select(*[F.col(a).alias(b) for a, b in renamed.items()])
     chosen = written(chosen, "chosen")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
 
     def found(part: DataFrame) -> DataFrame:
         return docs.join(
             part,
-            F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-            & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-            & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")),
+            F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+            & F.col("source").cast("string").eqNullSafe(F.col(source))
+            & (F.xxhash64(F.col("text").cast("string")) == F.col(hash_)),
         )
 
     def repeated(rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col("__copies") > 0).withColumn("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        return rows.filter(F.col(copies) > 0).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns)
 
-    out = repeated(found(chosen.filter(F.col("__more") == 0)))
+    out = repeated(found(chosen.filter(F.col(more) == 0)))
     # at most one document of each source and size has rows that differ in copies: they are numbered
-    uneven = written(chosen.filter(F.col("__more") > 0), "uneven")
+    uneven = written(chosen.filter(F.col(more) > 0), "uneven")
     if uneven.isEmpty():
         return out
     plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    turn = Window.partitionBy("__id", "__source", "__hash").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
-    numbered = found(uneven).withColumn("__turn", F.row_number().over(turn))
-    return out.unionByName(repeated(numbered.withColumn("__copies", F.col("__copies") + (F.col("__turn") <= F.col("__more")).cast("int"))))
+    order = Window.partitionBy(id_, source, hash_).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    numbered = found(uneven).withColumn(turn, F.row_number().over(order))
+    return out.unionByName(repeated(numbered.withColumn(copies, F.col(copies) + (F.col(turn) <= F.col(more)).cast("int"))))

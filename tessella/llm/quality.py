@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tessella.llm.bytehash import SPAN, hash_ranges, text_bytes
+from tessella.llm.common import unused
 from tessella.llm.dac import slices
 
 #: Byte classes that are counted; a class is a test on the byte value.
@@ -214,8 +215,8 @@ def score(
     have one of the two ``names`` are replaced.
     """
     rest = [c for c in docs.columns if c not in names]
-    place, source = rest.index(text_col), docs.select(*rest)
-    schema = docs.select(*rest).schema.add(names[0], DoubleType()).add(names[1], IntegerType())
+    place, source = rest.index(text_col), docs.select(*[F.col(f"`{c}`") for c in rest])
+    schema = StructType([*source.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
 
     def run(batches):
         for batch in batches:
@@ -230,5 +231,5 @@ def score(
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their columns."""
-    names = ("__score", "__predicted")
-    return score(docs, model, threshold, names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
+    names = (unused("score", docs), unused("predicted", docs))
+    return score(docs, model, threshold, names=names).filter(F.col(names[1]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -147,7 +147,7 @@ def redact(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", rules: tu
     heads = blob_findings(ledger, rules).select(F.col("blob_id").alias(key), F.col("found").alias(spans_))
     joined = docs.withColumn(key, blob_id(F.col("text").cast("string"))).join(heads, key, "left")
     clean = F.when(F.col(spans_).isNotNull(), masked(F.col("text"), F.col(spans_), mark)).otherwise(F.col("text"))
-    return joined.withColumn("text", clean).select(*docs.columns)
+    return joined.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def masked(text: Column, found: Column, mark: str, stretch: int = 4096) -> Column:

@@ -9,9 +9,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tessella.llm import common, mixing, secrets, urlfilter, warc
+from tessella.llm import common, mixing, secrets, sieve, urlfilter, warc
 
 PAGES = [
     (3, "http://a.com/x", "<p>one</p>", 1),
@@ -87,6 +88,29 @@ def test_very_long_record_spans_members(spark, tmp_path, monkeypatch):
     assert len(members) > 1 and all(m[-1] == 0 for m in members) and gzip.decompress(b"".join(members)) == record
 
 
+def test_columns_with_names_used_inside_stay(spark):
+    from tessella.llm import jaccard, quality
+
+    names = ["__id", "__hash", "__copies", "__found", "__blob_id", "_name", "_text_hash", "__score", "__n"]
+    text = "one two three four five six token=abcdef"
+    docs = spark.createDataFrame([(1, text, "s", *range(9)), (2, text, "s", *range(9))], ["doc_id", "text", "source", *names])
+    trees = quality.fit(quality.statistics(np.zeros(0, np.uint8), np.zeros(3, np.int64)), np.array([1.0, 1.0]))
+    ledger = secrets.update_ledger(docs)
+    for out in (mixing.mixed_documents(docs), jaccard.keep_one(docs), secrets.redact(docs, ledger), quality.keep_good(docs, trees)):
+        assert out.columns == docs.columns
+        assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(9))}
+
+
+def test_full_filters_change_no_record(spark, monkeypatch):
+    """Filters of 64 bits let nearly every row pass; what they can't tell is joined."""
+    monkeypatch.setattr(sieve, "MOST_BITS", 64)
+    rows = [(i if i % 11 else None, f"u{i}", f"payload {i % 40}" if i % 3 else f"own {i}", 0) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, x int")
+    got = warc.resolve(pages).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == _expected(rows, 0)
+    assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
+
+
 def test_hot_digest_moves_no_payloads(spark):
     """Of 3,000 equal payloads one stays; revisits carry none, and few rows beyond them are doubted."""
     pages = spark.range(6000).select(
