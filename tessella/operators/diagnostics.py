@@ -92,11 +92,14 @@ def normalized(rep: Column, execution_id: Column | None = None) -> Column:
     )
 
 
-def legacy_error(rep: Column) -> Column:
-    """The older error shape of a report's primary diagnostic, eleven keys; null for a report that is ok."""
+def legacy_error(rep: Column, product: str = "Engine", language: str = "Mapping") -> Column:
+    """The older error shape of a report's primary diagnostic, eleven keys; null for a report that is ok.
+
+    Two of its keys hold the names of the product and of the mapping language.
+    """
     first = primary(rep)
     code = F.coalesce(first["code"], F.lit("EVALUATION_FAILED"))
-    text = {"__isFumeError": F.lit(True), "__isFlashError": is_mapping_error(code), "message": F.coalesce(first["message"], F.lit("Evaluation failed")), "code": code}
+    text = {f"__is{product}Error": F.lit(True), f"__is{language}Error": is_mapping_error(code), "message": F.coalesce(first["message"], F.lit("Evaluation failed")), "code": code}
     rest = {"name": F.lit("EvaluationError"), "value": F.lit(""), "token": F.lit(""), "cause": F.lit("")}
     place = {k: F.coalesce(first[k].cast("string"), F.lit("")) for k in ("line", "start", "position")}
     return F.when(~F.coalesce(rep["ok"], F.lit(False)), F.struct(*[v.alias(k) for k, v in (text | rest | place).items()]))

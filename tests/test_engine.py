@@ -210,7 +210,7 @@ def test_mandatory_elements_are_checked_by_themselves(spark):
     kept = engine.transform_checked(docs, make, warned).collect()
     assert all(r.report.diagnostics.warning == [] for r in kept)
     error = engine.transform_verbose(docs, make).select(diag.legacy_error(F.col("report")).alias("e")).collect()
-    assert error[0].e is None and len(error[1].e) == 11 and error[1].e.code == "MIN" and error[1].e["__isFlashError"] is False
+    assert error[0].e is None and len(error[1].e) == 11 and error[1].e.code == "MIN" and error[1].e["__isMappingError"] is False
 
 
 def test_membership_and_smallest_targets(spark):
