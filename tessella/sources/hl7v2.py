@@ -6,6 +6,7 @@ here; a field or segment that isn't listed is kept raw under its segment and num
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -125,10 +126,8 @@ def _ids(message: Column) -> Column:
 
 
 def _fields(segments: Column) -> Column:
-    """(line, f, c) of segments: fields, and the components of each; every text is cut once."""
-    cut = F.transform(segments, lambda s: F.struct(s["line"].alias("line"), s["id"].alias("id"), F.split(s["raw"], "\\|", -1).alias("f")))
-    parts = lambda f: F.transform(f, lambda v: F.split(v, "\\^", -1))
-    return F.transform(cut, lambda s: F.struct(s["line"].alias("line"), s["id"].alias("id"), s["f"].alias("f"), parts(s["f"]).alias("c")))
+    """(line, id, f) of segments, f their fields."""
+    return F.transform(segments, lambda s: F.struct(s["line"].alias("line"), s["id"].alias("id"), F.split(s["raw"], "\\|", -1).alias("f")))
 
 
 def _named(message: Column, name: str) -> Column:
@@ -145,89 +144,106 @@ def _plain(value: Column) -> Column:
     return F.when(value != "", value)
 
 
-def _composite(parts: Column, kind: str, types: dict) -> Column:
-    """Named components of a field's parts; null where all of them are."""
-    out, some = [], []
-    for n, spec in types[kind].items():
-        name, inner = spec if isinstance(spec, tuple) else (spec, None)
-        raw = _plain(F.get(parts, F.lit(n - 1)))
-        if inner is None or inner == "iso":
-            column, there = raw if inner is None else _iso(raw), raw
-        else:
-            column = there = _composite(F.split(raw, "&", -1), inner, types)
-        out.append(column.alias(name))
-        some.append(there.isNotNull())
-    return F.when(reduce(Column.__or__, some), F.struct(*out))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-def segment(message: Column, name: str, version: str = "2.5.1") -> Column:
-    """All segments of one name as an array of structs; empty parts are null.
+def _composite(text: Column, separator: str, kind: str, types: dict) -> Column:
+    """Named components of a field's text; null where all of them are."""
 
-    A name that the dictionary lacks has its line alone; ``unlisted`` has the fields.
-    """
+    def named(parts: Column) -> Column:
+        out, some = [], []
+        for n, spec in types[kind].items():
+            name, inner = spec if isinstance(spec, tuple) else (spec, None)
+            raw = F.get(parts, F.lit(n - 1))
+            if inner is None or inner == "iso":
+                column = _plain(raw) if inner is None else _bound(_plain(raw), _iso)
+            else:
+                column = _composite(raw, "&", inner, types)
+            out.append(column.alias(name))
+            some.append(name)
+        return _bound(F.struct(*out), lambda s: F.when(reduce(Column.__or__, [s[n].isNotNull() for n in some]), s))
+
+    return F.when(text != "", _bound(F.split(text, separator, -1), named))
+
+
+def _built(s: Column, name: str, version: str) -> Column:
+    """A segment of ``_fields`` as the struct that the dictionary has for its name."""
     description, fields = SEGMENTS[version].get(name, (None, {}))
-    types = TYPES[version]
     shift = 1 if name == "MSH" else 0  # the separator itself is MSH-1
+    out = ([F.lit(description).alias("SegmentDescription")] if description else []) + [s["line"].alias("MessageLine")]
+    if name == "MSH":
+        out += [F.lit("|").alias("FieldSeparator"), F.get(s["f"], F.lit(1)).alias("EncodingCharacters")]
+    for n, spec in fields.items():
+        title, kind = spec if isinstance(spec, tuple) else (spec, None)
+        field = F.get(s["f"], F.lit(n - shift))
+        out.append((_plain(field) if kind is None else _composite(field, "\\^", kind, TYPES[version])).alias(title))
+    return F.struct(*out)
+
 
-    def build(s: Column) -> Column:
-        out = ([F.lit(description).alias("SegmentDescription")] if description else []) + [s["line"].alias("MessageLine")]
-        if name == "MSH":
-            out += [F.lit("|").alias("FieldSeparator"), F.get(s["f"], F.lit(1)).alias("EncodingCharacters")]
-        for n, spec in fields.items():
-            title, kind = spec if isinstance(spec, tuple) else (spec, None)
-            at = F.lit(n - shift)
-            out.append((_plain(F.get(s["f"], at)) if kind is None else _composite(F.get(s["c"], at), kind, types)).alias(title))
-        return F.struct(*out)
+def segment(message: Column, name: str, version: str = "2.5.1") -> Column:
+    """All segments of one name as an array of structs; empty parts are null.
 
-    return F.transform(_named(message, name), build)
+    A name that the dictionary lacks has its line alone; ``unlisted`` has the fields.
+    """
+    return F.transform(_named(message, name), lambda s: _built(s, name, version))
 
 
-def _raw(s: Column, known: list[int], shift: int) -> Column:
-    """A map of a segment's non-empty fields but for the known ones, by segment and number."""
-    numbered = F.transform(s["f"], lambda v, i: F.struct(F.concat(s["id"], (i + shift).cast("string")).alias("k"), v.alias("v"), (i + shift).alias("n")))
+def _raw(s: Column, name: str, version: str) -> Column:
+    """A map of a segment's non-empty fields that the dictionary lacks, by segment and number."""
+    shift = 1 if name == "MSH" else 0
+    known = list(SEGMENTS[version].get(name, ("", {}))[1]) + ([1, 2] if name == "MSH" else [])
+    numbered = F.transform(s["f"], lambda v, i: F.struct((i + shift).alias("n"), v.alias("v")))
     left = F.filter(numbered, lambda p: (p["n"] > shift) & (p["v"] != "") & ~p["n"].isin(known))
-    return F.map_from_entries(F.transform(left, lambda p: F.struct(p["k"], p["v"])))
+    return F.map_from_entries(F.transform(left, lambda p: F.struct(F.concat(s["id"], p["n"].cast("string")), p["v"])))
 
 
 def unlisted(message: Column, name: str, version: str = "2.5.1") -> Column:
     """For each segment of one name, a map of its fields that the dictionary lacks."""
-    known = list(SEGMENTS[version].get(name, ("", {}))[1]) + ([1, 2] if name == "MSH" else [])
-    return F.transform(_named(message, name), lambda s: _raw(s, known, 1 if name == "MSH" else 0))
+    return F.transform(_named(message, name), lambda s: _raw(s, name, version))
 
 
-def message_version(message: Column) -> Column:
-    """MSH-12's first component."""
-    return F.get(F.get(F.get(_named(message, "MSH"), F.lit(0))["c"], F.lit(11)), F.lit(0))
+def _version(segments: Column) -> Column:
+    """The first component of MSH-12."""
+    header = F.get(F.filter(segments, lambda s: s["id"] == "MSH"), F.lit(0))
+    return F.get(F.split(F.get(header["f"], F.lit(11)), "\\^", -1), F.lit(0))
 
 
-def _member(name: Column, objects: Column) -> Column:
-    """``"name":object``, an array where there are several, null where there are none."""
-    text = F.when(F.size(objects) == 1, F.get(objects, F.lit(0))).when(F.size(objects) > 1, F.concat(F.lit("["), F.array_join(objects, ","), F.lit("]")))
-    return F.when(text.isNotNull(), F.concat(F.lit('"'), name, F.lit('":'), text))
+def message_version(message: Column) -> Column:
+    """MSH-12's first component."""
+    return _version(_named(message, "MSH"))
 
 
 def _both(a: Column, b: Column) -> Column:
     """Two JSON objects, the first with members, as one."""
-    return F.when(b == "{}", a).otherwise(F.concat(F.substring(a, F.lit(1), F.length(a) - 1), F.lit(","), F.substring(b, F.lit(2), F.length(b))))
+    joined = lambda p: F.concat(F.substring(p["a"], F.lit(1), F.length(p["a"]) - 1), F.lit(","), F.substring(p["b"], F.lit(2), F.length(p["b"])))
+    return _bound(F.struct(a.alias("a"), b.alias("b")), lambda p: F.when(p["b"] == "{}", p["a"]).otherwise(joined(p)))
 
 
-def _to_json(message: Column, names: list[str] | None, version: str) -> Column:
+def _object(s: Column, version: str) -> Column:
+    """One segment as a JSON object."""
+    text = lambda name: _both(F.to_json(_built(s, name, version)), F.to_json(_raw(s, name, version)))
+    listed = reduce(lambda found, name: found.when(s["id"] == name, text(name)), SEGMENTS[version], F)
+    return listed.otherwise(text(""))
+
+
+def _members(segments: Column, names: list[str] | None, version: str) -> Column:
+    """The JSON object of all ``segments``: each becomes a text once, and these are gathered by name."""
     listed = list(SEGMENTS[version]) if names is None else names
-    out = []
-    for name in listed:
-        pairs = F.arrays_zip(segment(message, name, version).alias("s"), unlisted(message, name, version).alias("u"))
-        out.append(_member(F.lit(name), F.transform(pairs, lambda p: _both(F.to_json(p["s"]), F.to_json(p["u"])))))
-    if names is None:
-        rest = F.filter(_ids(message), lambda s: ~s["id"].isin(listed))
+    wanted = segments if names is None else F.filter(segments, lambda s: s["id"].isin(names))
+
+    def member(texts: Column, name: Column) -> Column:
+        objects = F.transform(F.filter(texts, lambda t: t["id"] == name), lambda t: t["text"])
+        value = lambda o: F.when(F.size(o) == 1, F.get(o, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(o, ","), F.lit("]")))
+        return F.concat(F.lit('"'), name, F.lit('":'), _bound(objects, value))
 
-        def others(found: Column) -> Column:
-            ids = F.array_distinct(F.transform(found, lambda s: s["id"]))
-            one = lambda s: _both(F.to_json(F.struct(s["line"].alias("MessageLine"))), F.to_json(_raw(s, [], 0)))
-            return F.array_join(F.transform(ids, lambda k: _member(k, F.transform(F.filter(found, lambda s: s["id"] == k), one))), ",")
+    def gathered(texts: Column) -> Column:
+        ids = F.transform(texts, lambda t: t["id"])
+        order = F.array_distinct(F.concat(F.array_intersect(F.array(*[F.lit(n) for n in listed]).cast("array<string>"), ids), ids))
+        return F.concat(F.lit("{"), F.array_join(F.transform(order, lambda k: member(texts, k)), ","), F.lit("}"))
 
-        text = F.transform(F.array(_fields(rest)), others)[0]
-        out.append(F.when(text != "", text))
-    return F.when(message.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *out), F.lit("}")))
+    return _bound(F.transform(wanted, lambda s: F.struct(s["id"].alias("id"), _object(s, version).alias("text"))), gathered)
 
 
 def to_json(message: Column, names: list[str] | None = None, version: str | None = None) -> Column:
@@ -237,10 +253,11 @@ def to_json(message: Column, names: list[str] | None = None, version: str | None
     picks the dictionary; the newest serves versions that aren't listed.
     """
     if version is not None:
-        return _to_json(message, names, version)
-    own, newest = message_version(message), max(SEGMENTS)
-    out = _to_json(message, names, newest)
-    for other in SEGMENTS:
-        if other != newest:
-            out = F.when(own == other, _to_json(message, names, other)).otherwise(out)
-    return out
+        return _bound(_fields(_ids(message)), lambda segments: _members(segments, names, version))
+    newest = max(SEGMENTS)
+
+    def by_version(p: Column) -> Column:
+        older = reduce(lambda found, v: found.when(p["own"] == v, _members(p["s"], names, v)), [v for v in SEGMENTS if v != newest], F)
+        return older.otherwise(_members(p["s"], names, newest))
+
+    return _bound(_fields(_ids(message)), lambda segments: _bound(F.struct(segments.alias("s"), _version(segments).alias("own")), by_version))
