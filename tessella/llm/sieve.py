@@ -56,16 +56,17 @@ class Sieve:
         return hit.astype(bool).all(axis=0)
 
     def split(self, rows: DataFrame, column: str, maybe: bool) -> DataFrame:
-        """The rows whose non-null key in ``column`` (a long) the filter may have, or all others."""
-        place = rows.columns.index(column)
+        """The rows whose non-null key in ``column`` (a long) the filter may have, or all others.
 
-        def run(batches):
-            for b in batches:
-                mask = self.has(b.column(place).fill_null(0).to_numpy(zero_copy_only=False))
-                mask &= b.column(place).is_valid().to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array(mask if maybe else ~mask))
+        Keys alone go to Python; the rest of a row, however wide, stays in the JVM.
+        """
+
+        def test(keys: pa.Array) -> pa.Array:
+            mask = self.has(keys.fill_null(0).to_numpy(zero_copy_only=False))
+            return pa.array(mask & keys.is_valid().to_numpy(zero_copy_only=False))
 
-        return rows.mapInArrow(run, rows.schema)
+        found = F.arrow_udf(test, "boolean")(F.col(f"`{column}`"))
+        return rows.filter(found if maybe else ~found)
 
 
 def without(rows: DataFrame, name: str, same: Column, heads: DataFrame, head: str, same_head: Column, gone: DataFrame, gone_name: str) -> DataFrame:

@@ -201,3 +201,13 @@ def test_components_of_chains_and_stars(spark):
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     want = {i: 100 for i in range(100, 161)} | {k: 7 for k in [7, *range(200, 260)]} | {8: 8, 9: 8}
     assert got == want
+
+
+def test_sieve_sends_keys_alone_to_python(spark):
+    rows = spark.createDataFrame([(k, "x" * 100) for k in [*range(50), None]], "`a.b` long, text string")
+    chosen = sieve.Sieve.build(spark.createDataFrame([(7,), (8,), (None,)], "k long"), "k", 3)
+    some, rest = chosen.split(rows, "a.b", maybe=True), chosen.split(rows, "a.b", maybe=False)
+    ids = lambda df: {r["a.b"] for r in df.collect()}
+    assert {7, 8} <= ids(some) and None in ids(rest) and ids(some) | ids(rest) == {*range(50), None} and not ids(some) & ids(rest)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
